@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -64,3 +66,36 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
                 start, total = i, 0
             total += int(n)
         yield batch.slice(start)
+
+
+def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list[bytes]], list[dict]]], fields: list[tuple[str, T.DataType, pa.DataType]]) -> DataFrame:
+    """``row``, ``id``, ``absent`` and ``fields`` for each text; ``make()`` gives each task its worker for lists of UTF-8 bodies.
+
+    No shuffle: rows stay in their partitions, and a worker sees about 4 MB of text at a time.
+    """
+    source = packed(df, id_col, text_col)
+    found = T.StructType([T.StructField(n, t) for n, t, _ in fields])
+    kind = pa.struct([(n, t) for n, _, t in fields])
+    schema = T.StructType([source.schema["row"], source.schema["id"], source.schema["absent"], T.StructField("found", found)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in slices(batches, "body"):
+            out = pa.array(work(batch.column("body").to_pylist()), kind)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("absent"), out], ["row", "id", "absent", "found"])
+
+    return source.mapInArrow(run, schema).select("row", "id", "absent", "found.*")
+
+
+def replaced_text(df: DataFrame, out: DataFrame, text_col: str, new_text: Column) -> DataFrame:
+    """The input's columns, in order, with ``new_text`` as the text and ``n_chars`` (if it is a column) after it."""
+    new = out.select("row", F.when(~F.col("absent"), new_text).alias("new_text"))
+    columns = []
+    for c in df.columns:
+        if c == text_col:
+            columns.append(F.col("new_text").alias(c))
+        elif c == "n_chars":
+            columns.append(F.length("new_text").cast(df.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(f"row.`{c}`").alias(c))
+    return new.select(*columns)

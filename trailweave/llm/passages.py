@@ -30,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import packed
+from .common import packed, replaced_text
 
 TRIGGER = 19  #: bytes of a trigger
-SEGMENT = 1 << 20  #: windows worked on at once; positions fit 20 bits
-BLOCK_BYTES = 16 << 20
-BUCKET_BYTES = 24 << 20
+SEGMENT = 1 << 18  #: windows worked on at once; positions fit 20 bits
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
 ENTRY_BYTES = 20
 NULL_ID = -(1 << 63)
 
@@ -375,11 +376,10 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
     answers = entries.groupBy("bucket").applyInArrow(group, "block long, kind int, entries binary")
     spelled = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spell, "bucket long, block long, entries binary, before binary, phrases array<binary>")
     settled = spelled.groupBy("bucket").applyInArrow(settle, "block long, kind int, entries binary")
-    row_type = source.schema["row"].dataType.simpleString()
+    found = "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
+    schema = T.StructType([source.schema["row"], source.schema["id"], source.schema["absent"], T.StructField("found", T.StructType.fromDDL(found))])
     both = answers.unionByName(settled)
-    final = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
-        cover, f"row {row_type}, id long, absent boolean, found struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,spans:array<struct<start:bigint,end:bigint>>,kept:binary>"
-    )
+    final = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cover, schema)
     return final.select("row", "id", "absent", "found.*")
 
 
@@ -390,17 +390,8 @@ def remove_repeats(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", t
     is a column, follows the text.
     """
     out = repeated_passages(spark, df, id_col, text_col, window)
-    kept = F.when(F.col("absent"), None).when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(_valid_utf8("kept"))
-    new = out.select("row", kept.alias("kept_text"))
-    columns = []
-    for c in df.columns:
-        if c == text_col:
-            columns.append(F.col("kept_text").alias(c))
-        elif c == "n_chars":
-            columns.append(F.length("kept_text").cast(df.schema[c].dataType).alias(c))
-        else:
-            columns.append(F.col(f"row.`{c}`").alias(c))
-    return new.select(*columns)
+    kept = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(_valid_utf8("kept"))
+    return replaced_text(df, out, text_col, kept)
 
 
 def _valid_utf8(col: str) -> F.Column:
