@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import passages
+from . import passages, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": passages.query,
+    "op2_secret_scans": secrets.query,
+    "op3_toxicity": toxicity.query,
+    "op4_simhash_near_dedup": simhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
