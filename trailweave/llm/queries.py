@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import passages, secrets, simhash, toxicity
+from . import packing, passages, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": passages.query,
     "op2_secret_scans": secrets.query,
     "op3_toxicity": toxicity.query,
     "op4_simhash_near_dedup": simhash.query,
+    "op5_byte_level_bpe": tokens.query,
+    "op6_best_fit_packing": packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
