@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, passages, secrets, simhash, tokens, toxicity
+from . import media, packing, passages, quality, secrets, simhash, tokens, toxicity, urls, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": passages.query,
@@ -11,6 +11,10 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash.query,
     "op5_byte_level_bpe": tokens.query,
     "op6_best_fit_packing": packing.query,
+    "op7_quality_rules": quality.query,
+    "op8_warc": warc.query,
+    "op9_media_columns": media.query,
+    "op10_url_filters": urls.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
