@@ -24,6 +24,8 @@ columns, whatever their names, pass through in ``row``.
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
 from functools import cache
 
 import numpy as np
@@ -35,9 +37,9 @@ from pyspark.sql import types as T
 from .common import packed, replaced_text
 
 TRIGGER = 19  #: bytes of a trigger
-SEGMENT = 1 << 18  #: windows worked on at once; positions fit 20 bits
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+SEGMENT = 1 << 17  #: windows worked on at once; positions fit 20 bits
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 ENTRY_BYTES = 20
 NULL_ID = -(1 << 63)
 
@@ -131,9 +133,8 @@ def _walk(bodies: list, ids: np.ndarray, window: int, k: int):
         n = len(body)
         if n < window:
             continue
-        whole = np.frombuffer(body, np.uint8)
         for at in range(0, n - window + 1, SEGMENT - window):
-            part = whole[at : at + SEGMENT - 1]
+            part = body[at : at + SEGMENT - 1]
             if size + len(part) >= SEGMENT:
                 if group:
                     yield flush(group)
@@ -208,6 +209,25 @@ def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
     return pa.table({name: pa.array(values, kind) for name, (values, kind) in columns.items()})
 
 
+def _bodies(table: pa.Table) -> list[np.ndarray]:
+    """Views of the texts' bytes, without copies."""
+    found = []
+    for chunk in table.column("body").chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        raw = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+        found += [raw[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return found
+
+
+def _lean(table: pa.Table) -> pa.Table:
+    """Gives freed memory back to the system after a group: workers live on between groups."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    return table
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     return table.column("id").fill_null(NULL_ID).to_numpy()
 
@@ -227,7 +247,7 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
 
     def parse(table: pa.Table) -> pa.Table:
         ids, found = _ids(table), []
-        for rows, _, a, b, *_ in _walk(table.column("body").to_pylist(), ids, window, k):
+        for rows, _, a, b, *_ in _walk(_bodies(table), ids, window, k):
             found.append((a, b, ids[rows]))
         out = {"bucket": ([], pa.int64()), "block": ([], pa.int64()), "entries": ([], pa.binary())}
         if found:
@@ -236,7 +256,7 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
             for key, s, e in _cuts(_bucket(a, n_buckets)):
                 for name, v in zip(out, (key, block, _pack(a[s:e], b[s:e], d[s:e])), strict=True):
                     out[name][0].append(v)
-        return _rows(out)
+        return _lean(_rows(out))
 
     def group(table: pa.Table) -> pa.Table:
         """For each block: phrases that an earlier document elsewhere has, and phrases whose bytes are asked for."""
@@ -262,16 +282,16 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
                 i = at[s:e]
                 for name, v in zip(out, (key, kind, _pack(a[i], b[i], value[i])), strict=True):
                     out[name][0].append(v)
-        return _rows(out)
+        return _lean(_rows(out))
 
     def spell(left: pa.Table, right: pa.Table) -> pa.Table:
         """The bytes of the phrases asked for."""
         want = _unpack(right.filter(pa.compute.equal(right.column("kind"), 1)).column("entries").to_pylist())
         out = {"bucket": ([], pa.int64()), "block": ([], pa.int64()), "entries": ([], pa.binary()), "before": ([], pa.binary()), "phrases": ([], pa.list_(pa.binary()))}
         if not len(want[0]) or not left.num_rows:
-            return _rows(out)
+            return _lean(_rows(out))
         ids, seen, got = _ids(left), np.zeros(len(want[0]), bool), []
-        for rows, _, a, b, first, last, pos, data in _walk(left.column("body").to_pylist(), ids, window, k):
+        for rows, _, a, b, first, last, pos, data in _walk(_bodies(left), ids, window, k):
             hit = _find(a, b, want[0], want[1])
             at = np.flatnonzero(hit >= 0)
             at = at[ids[rows[at]] == want[2][hit[at]]]
@@ -286,7 +306,7 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
         for key, s, e in _cuts(_bucket(a, n_buckets)):
             for name, v in zip(out, (key, left.column("block")[0].as_py(), _pack(a[s:e], b[s:e], d[s:e]), bytes(g[1] for g in got[s:e]), [g[2] for g in got[s:e]]), strict=True):
                 out[name][0].append(v)
-        return _rows(out)
+        return _lean(_rows(out))
 
     def settle(table: pa.Table) -> pa.Table:
         """Suffix array of the dictionary, cut at ``window`` bytes: windows that an earlier document has too."""
@@ -328,7 +348,7 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
             i = at[s:e]
             for name, v in zip(out, (key, 2, _pack(a[i], b[i], mask[i].view(np.int64))), strict=True):
                 out[name][0].append(v)
-        return _rows(out)
+        return _lean(_rows(out))
 
     result_type = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -337,7 +357,7 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
             return _unpack(right.filter(pa.compute.equal(right.column("kind"), kind)).column("entries").to_pylist())
 
         earlier, partial = read(0), read(2)
-        ids, bodies = _ids(left), left.column("body").to_pylist()
+        ids, bodies = _ids(left), _bodies(left)
         parts = list(_walk(bodies, ids, window, k))
         parts = [(rows, shift, a, b, first, last) for rows, shift, a, b, first, last, _, _ in parts]
         marks = [[] for _ in bodies]
@@ -368,9 +388,9 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
             for s, e in spans:
                 keep.append(body[at:s])
                 at = e
-            kept = b"".join([*keep, body[at:]]) if spans else body
+            kept = b"".join([*keep, body[at:]])
             out.append({"n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(spans), "spans": [{"start": s, "end": e} for s, e in spans], "kept": kept})
-        return pa.table({"row": left.column("row").cast(left.schema.field("row").type), "id": left.column("id"), "absent": left.column("absent"), "found": pa.array(out, result_type)})
+        return _lean(pa.table({"row": left.column("row"), "id": left.column("id"), "absent": left.column("absent"), "found": pa.array(out, result_type)}))
 
     entries = blocks.groupBy("block").applyInArrow(parse, "bucket long, block long, entries binary")
     answers = entries.groupBy("bucket").applyInArrow(group, "block long, kind int, entries binary")
