@@ -1,6 +1,6 @@
 """Registered queries over the star-schema log, and their DuckDB SQL."""
 
-from . import trees
+from . import analyses, trees
 
-QUERIES = {**trees.QUERIES}
-SQL = {**trees.SQL}
+QUERIES = {**trees.QUERIES, **analyses.QUERIES}
+SQL = {**trees.SQL, **analyses.SQL}
