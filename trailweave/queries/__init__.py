@@ -1,6 +1,6 @@
 """Registered queries over the star-schema log, and their DuckDB SQL."""
 
-from . import analyses, trees
+from . import analyses, models, trees
 
-QUERIES = {**trees.QUERIES, **analyses.QUERIES}
-SQL = {**trees.SQL, **analyses.SQL}
+QUERIES = {**trees.QUERIES, **analyses.QUERIES, **models.QUERIES}
+SQL = {**trees.SQL, **analyses.SQL, **models.SQL}
