@@ -1,6 +1,7 @@
 """Registered queries over the star-schema log, and their DuckDB SQL."""
 
-from . import analyses, models, trees
+from . import analyses, models, tables, trees
 
-QUERIES = {**trees.QUERIES, **analyses.QUERIES, **models.QUERIES}
-SQL = {**trees.SQL, **analyses.SQL, **models.SQL}
+_PARTS = (trees, analyses, models, tables)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+SQL = {name: q for part in _PARTS for name, q in part.SQL.items()}
