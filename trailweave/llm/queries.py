@@ -17,4 +17,14 @@ QUERIES = {
     "op10_url_filters": urls.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FIVE_BITS = " + ".join(f"{1 << 4 - b} * CAST(substr(bits, 5 * i + {b + 1}, 1) AS INTEGER)" for b in range(5))
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, min(page_id) OVER (PARTITION BY body) AS least, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + {_FIVE_BITS} AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN least = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN least <> page_id THEN least END AS refers_to
+FROM d""",
+}
