@@ -189,12 +189,16 @@ def discover_either(log: Log, ob_type: str, coverage: float, lift: float = 1.1)
     wide = ids.join(counts, "id", "left")
     value = lambda c: F.coalesce(F.col(f"k{keys.index((c.ref, c.related_type))}"), F.lit(0))
     holds = [(value(c) >= (c.low or 0)) & ((value(c) <= c.high) if c.high is not None else F.lit(True)) for c in candidates]
-    pairs = [(i, j) for i in range(len(candidates)) for j in range(i) if candidates[i].related_type != candidates[j].related_type]
-    share = lambda p, name: F.avg(p.cast("double")).alias(name)
-    row = wide.agg(*[share(h, f"s{i}") for i, h in enumerate(holds)], *[share(holds[i] | holds[j], f"p{i}_{j}") for i, j in pairs]).first()
+    # objects with the same outcomes count together; pairs are formed of these patterns only
+    patterns = wide.select(F.array(*[F.coalesce(h, F.lit(False)) for h in holds]).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    total = ids.count()
+    pairs = [(i, j) for i in range(len(candidates)) for j in range(i + 1) if i == j or candidates[i].related_type != candidates[j].related_type]
+    listed = log.spark.createDataFrame(pairs, "i int, j int").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))  # one row
+    either_ = patterns.crossJoin(F.broadcast(listed)).select("s", "n", F.explode("pairs").alias("p")).filter(F.get("s", F.col("p.i")) | F.get("s", F.col("p.j")))
+    share = {(r["i"], r["j"]): r["n"] / total for r in either_.groupBy("p.i", "p.j").agg(F.sum("n").alias("n")).collect()}
     out = []
     for i, j in pairs:
-        a, b, both = row[f"s{i}"], row[f"s{j}"], row[f"p{i}_{j}"]
-        if max(a, b) < coverage <= both and both >= lift * (1 - (1 - a) * (1 - b)):
+        a, b, both = share.get((i, i), 0.0), share.get((j, j), 0.0), share.get((i, j), 0.0)
+        if i != j and max(a, b) < coverage <= both and both >= lift * (1 - (1 - a) * (1 - b)):
             out.append((f"{candidates[i].name} OR {candidates[j].name}", either(candidates[i].tree(), candidates[j].tree(), {"o1": [ob_type]})))
     return out

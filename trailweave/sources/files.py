@@ -125,7 +125,7 @@ _CSV = {
 
 
 def read_csv(spark: SparkSession, path: str) -> Log:
-    f = {name: spark.read.schema(schema).csv(f"{path}/{name}", header=True, escape='"', multiLine=True) for name, schema in _CSV.items()}
+    f = {name: spark.read.schema(schema).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(f"{path}/{name}", header=True, escape='"', multiLine=True) for name, schema in _CSV.items()}
     return _assembled(f["event"], f["object"], f["event_attr"], f["object_attr"], f["e2o"], f["o2o"], f["type_decl"])
 
 
@@ -133,7 +133,7 @@ def write_csv(log: Log, path: str) -> None:
     text = text_of().alias("text")
     frames = log.frames() | {"event_attr": log.event_attr.select("ev_id", "name", text), "object_attr": log.object_attr.select("ob_id", "name", "ts", "ordinal", text), "e2o": log.e2o.select("ev_id", "ob_id", "qualifier"), "o2o": log.o2o.select("src_id", "dst_id", "qualifier")}
     for name, df in frames.items():
-        df.write.mode("errorifexists").csv(f"{path}/{name}", header=True, escape='"', timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        df.write.mode("errorifexists").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(f"{path}/{name}", header=True, escape='"')
 
 
 def read_xml(spark: SparkSession, path: str) -> Log:
