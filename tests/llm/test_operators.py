@@ -55,9 +55,10 @@ def got(df, *columns):
 
 
 # 1
-@pytest.mark.parametrize("block", [300, 4 << 20])
-def test_passages(spark, docs, pairs, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(300, 256), (4 << 20, 256), (3000, 1)])
+def test_passages(spark, docs, pairs, monkeypatch, block, hot):
     monkeypatch.setattr(passages, "BLOCK_BYTES", block)
+    monkeypatch.setattr(passages, "HOT", hot)
     out = passages.repeated_passages(spark, docs).withColumn("sha", F.sha2("kept", 256))
     assert got(out, "id", "n_bytes", "n_removed", "n_spans", "sha") == sorted(brute.passages(pairs), key=str)
     assert out.select("row.kept").distinct().count() == 2  # an input column of the same name

@@ -11,7 +11,9 @@ always lie in phrases with the same trigger, wherever they stand.
 * The **dictionary** holds the distinct phrases that share a trigger but differ,
   which happens at the ends of repeated passages.  For these the suffixes of at
   least ``window`` bytes are sorted (a suffix array over the dictionary) and
-  neighbours with a common prefix of ``window`` bytes form one class.
+  neighbours with a common prefix of ``window`` bytes form one class.  A trigger of
+  more than ``HOT`` distinct phrases would put them all into one group: its phrases
+  are dealt out window by window instead, by a hash of the window.
 
 Documents are dealt to blocks of bounded size; each block sends one entry per
 distinct phrase with its smallest document, so a passage that fills a third of
@@ -41,6 +43,7 @@ SEGMENT = 1 << 17  #: windows worked on at once; positions fit 20 bits
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 4 << 20
 ENTRY_BYTES = 20
+HOT = 256  #: distinct phrases of a trigger above which its windows are dealt out
 NULL_ID = -(1 << 63)
 
 
@@ -73,6 +76,21 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, powers(base), powers(inverse)
 
 
+def _window_hashes(data: np.ndarray, window: int) -> np.ndarray:
+    """Hash (48 bits) of the window at each position."""
+    letters, up, down = _tables()
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(letters[data] * up[: len(data)], out=total[1:])
+    return _mix((total[window:] - total[:-window]) * down[: len(data) - window + 1]) >> np.uint64(16)
+
+
+def _windows(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase number, position) of every window of phrases."""
+    count = last - first + 1
+    piece = np.repeat(np.arange(len(first)), count)
+    return piece, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[piece]
+
+
 def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     m = 1
     while 2 * m <= w:
@@ -272,10 +290,13 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
         trigger = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         group_of = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1
         lowest, highest = np.minimum.reduceat(d, trigger), np.maximum.reduceat(least, trigger)
+        kinds = np.zeros(len(a), np.int64)
+        kinds[lead] = 1
+        hot = (np.add.reduceat(kinds, trigger) > HOT)[group_of]
         asked = np.zeros(len(a), bool)
         asked[lead] = (lowest != highest)[group_of[lead]]
         out = {"block": ([], pa.int64()), "kind": ([], pa.int32()), "entries": ([], pa.binary())}
-        for kind, mask, value in ((0, least < d, least), (1, asked, d)):
+        for kind, mask, value in ((0, least < d, least), (1, asked & ~hot, d), (3, asked & hot, d)):
             at = np.flatnonzero(mask)
             at = at[np.argsort(owner[at], kind="stable")]
             for key, s, e in _cuts(owner[at]):
@@ -285,13 +306,13 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
         return _lean(_rows(out))
 
     def spell(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The bytes of the phrases asked for."""
-        want = _unpack(right.filter(pa.compute.equal(right.column("kind"), 1)).column("entries").to_pylist())
-        out = {"bucket": ([], pa.int64()), "block": ([], pa.int64()), "entries": ([], pa.binary()), "before": ([], pa.binary()), "phrases": ([], pa.list_(pa.binary()))}
-        if not len(want[0]) or not left.num_rows:
+        """The bytes of the phrases asked for; of phrases of hot triggers, hashes of their windows."""
+        want, hot = (_unpack(right.filter(pa.compute.equal(right.column("kind"), k)).column("entries").to_pylist()) for k in (1, 3))
+        out = {"bucket": ([], pa.int64()), "block": ([], pa.int64()), "kind": ([], pa.int32()), "entries": ([], pa.binary()), "phrases": ([], pa.list_(pa.binary()))}
+        if not len(want[0]) + len(hot[0]) or not left.num_rows:
             return _lean(_rows(out))
-        ids, seen, got = _ids(left), np.zeros(len(want[0]), bool), []
-        for rows, _, a, b, first, last, pos, data in _walk(_bodies(left), ids, window, k):
+        block, ids, seen, got, windows = left.column("block")[0].as_py(), _ids(left), np.zeros(len(want[0]), bool), [], []
+        for rows, _, a, b, first, last, _, data in _walk(_bodies(left), ids, window, k):
             hit = _find(a, b, want[0], want[1])
             at = np.flatnonzero(hit >= 0)
             at = at[ids[rows[at]] == want[2][hit[at]]]
@@ -299,18 +320,46 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
             hits, one = np.unique(hit[at], return_index=True)
             seen[hits] = True
             raw = data.tobytes()
-            got += [(h, int(pos[i] - first[i]), raw[first[i] : last[i] + window]) for h, i in zip(hits.tolist(), at[one].tolist(), strict=True)]
+            got += [(h, raw[first[i] : last[i] + window]) for h, i in zip(hits.tolist(), at[one].tolist(), strict=True)]
+            at = owned(ids[rows], a, b, hot)
+            if len(at):
+                piece, pos = _windows(first[at], last[at])
+                windows.append((a[at][piece], _window_hashes(data, window)[pos], ids[rows[at]][piece]))
         got.sort(key=lambda g: want[0][g[0]])
         h = np.array([g[0] for g in got], np.int64)
         a, b, d = want[0][h], want[1][h], want[2][h]
         for key, s, e in _cuts(_bucket(a, n_buckets)):
-            for name, v in zip(out, (key, left.column("block")[0].as_py(), _pack(a[s:e], b[s:e], d[s:e]), bytes(g[1] for g in got[s:e]), [g[2] for g in got[s:e]]), strict=True):
+            for name, v in zip(out, (key, block, 1, _pack(a[s:e], b[s:e], d[s:e]), [g[1] for g in got[s:e]]), strict=True):
                 out[name][0].append(v)
+        if windows:
+            a, b, d, _ = _smallest(*(np.concatenate(x) for x in zip(*windows, strict=True)))
+            order = np.argsort(b, kind="stable")
+            a, b, d = a[order], b[order], d[order]
+            for key, s, e in _cuts(_bucket(b, n_buckets)):
+                for name, v in zip(out, (n_buckets + key, block, 3, _pack(a[s:e], b[s:e], d[s:e]), []), strict=True):
+                    out[name][0].append(v)
         return _lean(_rows(out))
 
+    def shared_windows(a: np.ndarray, b: np.ndarray, d: np.ndarray, owner: np.ndarray) -> dict:
+        """For each block: its windows of hot triggers that an earlier document elsewhere has, with that document."""
+        order = np.lexsort((d, b, a))
+        a, b, d, owner = a[order], b[order], d[order], owner[order]
+        lead = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        least = d[lead][np.cumsum(lead) - 1]
+        out = {"block": ([], pa.int64()), "kind": ([], pa.int32()), "entries": ([], pa.binary())}
+        at = np.flatnonzero(least < d)
+        at = at[np.argsort(owner[at], kind="stable")]
+        for key, s, e in _cuts(owner[at]):
+            i = at[s:e]
+            for name, v in zip(out, (key, 5, _pack(a[i], b[i], least[i])), strict=True):
+                out[name][0].append(v)
+        return out
+
     def settle(table: pa.Table) -> pa.Table:
         """Suffix array of the dictionary, cut at ``window`` bytes: windows that an earlier document has too."""
         a, b, d = _unpack(table.column("entries").to_pylist())
+        if table.column("kind")[0].as_py() == 3:
+            return _lean(_rows(shared_windows(a, b, d, np.repeat(table.column("block").to_numpy(), [len(x) // 20 for x in table.column("entries").to_pylist()]))))
         texts = [x for blob in table.column("phrases").to_pylist() for x in blob]
         owner = np.repeat(table.column("block").to_numpy(), [len(x) // 20 for x in table.column("entries").to_pylist()])
         mask = np.zeros(len(a), np.uint64)
@@ -356,11 +405,23 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
         def read(kind: int):
             return _unpack(right.filter(pa.compute.equal(right.column("kind"), kind)).column("entries").to_pylist())
 
-        earlier, partial = read(0), read(2)
-        ids, bodies = _ids(left), _bodies(left)
-        parts = list(_walk(bodies, ids, window, k))
-        parts = [(rows, shift, a, b, first, last) for rows, shift, a, b, first, last, _, _ in parts]
+        earlier, partial, hot, elsewhere = read(0), read(2), read(3), read(5)
+        ids, bodies, parts, windows = _ids(left), _bodies(left), [], []
+        for rows, shift, a, b, first, last, _, data in _walk(bodies, ids, window, k):
+            parts.append((rows, shift, a, b, first, last))
+            at = owned(ids[rows], a, b, hot)
+            if len(at):
+                piece, pos = _windows(first[at], last[at])
+                windows.append((a[at][piece], _window_hashes(data, window)[pos], ids[rows[at]][piece], rows[at][piece], pos + shift[at][piece]))
         marks = [[] for _ in bodies]
+        if windows:
+            a, b, d, rows, pos = (np.concatenate(x) for x in zip(*windows, strict=True))
+            wa, wb, wd, _ = _smallest(a, b, d)
+            least = wd[_find(a, b, wa, wb)]
+            hit = _find(a, b, elsewhere[0], elsewhere[1])
+            least[hit >= 0] = np.minimum(least[hit >= 0], elsewhere[2][hit[hit >= 0]])
+            for i in np.flatnonzero(least < d).tolist():
+                marks[rows[i]].append((int(pos[i]), int(pos[i]) + window))
         if parts:
             rows, shift, a, b, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
             pa_, pb_, pd_, _ = _smallest(a, b, ids[rows])
@@ -392,9 +453,15 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
             out.append({"n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(spans), "spans": [{"start": s, "end": e} for s, e in spans], "kept": kept})
         return _lean(pa.table({"row": left.column("row"), "id": left.column("id"), "absent": left.column("absent"), "found": pa.array(out, result_type)}))
 
+    def owned(ids: np.ndarray, a: np.ndarray, b: np.ndarray, hot: tuple) -> np.ndarray:
+        """Phrases of hot triggers in the document that has them first."""
+        hit = _find(a, b, hot[0], hot[1])
+        at = np.flatnonzero(hit >= 0)
+        return at[ids[at] == hot[2][hit[at]]]
+
     entries = blocks.groupBy("block").applyInArrow(parse, "bucket long, block long, entries binary")
     answers = entries.groupBy("bucket").applyInArrow(group, "block long, kind int, entries binary")
-    spelled = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spell, "bucket long, block long, entries binary, before binary, phrases array<binary>")
+    spelled = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spell, "bucket long, block long, kind int, entries binary, phrases array<binary>")
     settled = spelled.groupBy("bucket").applyInArrow(settle, "block long, kind int, entries binary")
     found = "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
     schema = T.StructType([source.schema["row"], source.schema["id"], source.schema["absent"], T.StructField("found", T.StructType.fromDDL(found))])
