@@ -398,8 +398,14 @@ def test_url_model_learns(spark):
 def test_blended_probabilities_sum_to_one():
     counts = np.zeros(urls.SYMBOLS**4)
     counts[np.random.default_rng(0).integers(0, len(counts), 5000)] += 3
-    p = np.exp(urls.log_probabilities(counts)).reshape(-1, urls.SYMBOLS)
+    p = urls.probabilities(counts).reshape(-1, urls.SYMBOLS)
     assert np.allclose(p.sum(axis=1), 1)
+    context = 77
+    longer = urls.Longer([(context, 3, 5, 1, 2)], [(context * 32 + 1, 3, 1), (context * 32 + 2, 0, 4)])
+    index = context * 32 + np.arange(32)
+    for good in (0, 1):
+        assert np.isclose(longer.blend(index, np.full(32, 1 / 32), good).sum(), 1)
+    assert np.allclose(longer.blend(index + 32, np.full(32, 1 / 32), 0), 1 / 32)
 
 
 def test_url_query_matches_rules(spark):
