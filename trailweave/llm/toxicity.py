@@ -172,11 +172,13 @@ def learn(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "
     for r in often:
         b, g = r["bad"] + 0.1, clean.get(r["key"], 0) + 0.5
         weight[r["key"]] = math.log(b / (bad + 0.2)) - math.log(g / (good + 1)) - 2 * math.sqrt(1 / b + 1 / g)
-    # a stem stands for its extensions unless an extension is clearly more telling
+    # a stem stands for its extensions unless an extension is clearly more telling; stems
+    # far weaker than the strongest would add up in long texts
     stems: dict[str, float] = {}
+    clear = max(CLEAR, max(weight.values(), default=0.0) / 2)
     for key in sorted(weight, key=lambda s: (len(s), s)):
-        shorter = max((stems[key[:n]] for n in range(1, len(key)) if key[:n] in stems), default=CLEAR)
-        if weight[key] > shorter + (0.0 if shorter == CLEAR else 1.0):
+        shorter = max((stems[key[:n]] for n in range(1, len(key)) if key[:n] in stems), default=clear)
+        if weight[key] > shorter + (0.0 if shorter == clear else 1.0):
             stems[key] = weight[key]
     stems = dict(sorted(stems.items(), key=lambda s: (-s[1], s[0]))[:LEXICON])
     first = spark.sparkContext.broadcast(Lexicon(stems, set(), (0.0, 0.0, 0.0)))
