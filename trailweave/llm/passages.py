@@ -131,7 +131,8 @@ def phrases(data: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np
     last = np.flatnonzero(over)
     pos = at[first]
     body = _mix((total[last + window] - total[first]) * down[first])
-    return kmer[pos] >> np.uint64(16), body >> np.uint64(16), first, last, pos
+    # triggers are small hashes by choice: mixed again, they spread over all buckets
+    return _mix(kmer[pos]) >> np.uint64(16), body >> np.uint64(16), first, last, pos
 
 
 def _walk(bodies: list, ids: np.ndarray, window: int, k: int):
