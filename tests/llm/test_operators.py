@@ -84,6 +84,8 @@ def test_remove_repeats(spark, docs, empty):
     texts = {r["doc_id"]: r["text"] for r in out.filter("doc_id is not null").collect()}
     assert texts[0] is None and texts[6] == "" and texts[3] == "one"
     assert passages.remove_repeats(spark, empty).count() == 0
+    odd = spark.createDataFrame([(1, "x" + "é" * 60), (2, "\ufffd" + "yé" + "é" * 59 + "ü")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in passages.remove_repeats(spark, odd).collect()}[2] == "\ufffdy"  # the first byte of the last letter is shared too
 
 
 # 2

@@ -251,11 +251,12 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("id").fill_null(NULL_ID).to_numpy()
 
 
-def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, whole_characters: bool = False) -> DataFrame:
     """Bytes of each document covered by ``window``-byte strings that also start in a document of smaller id.
 
     Returns ``row`` (the input's other columns), ``id``, ``absent`` (the text is null), ``n_bytes``, ``n_removed``, ``n_spans``,
-    ``spans`` (start and exclusive end in bytes) and ``kept`` (the other bytes).
+    ``spans`` (start and exclusive end in bytes) and ``kept`` (the other bytes; with
+    ``whole_characters`` without what is left of a character that a span cuts).
     """
     k = min(TRIGGER, window)
     source = packed(df, id_col, text_col)
@@ -451,7 +452,10 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
                 keep.append(body[at:s])
                 at = e
             kept = b"".join([*keep, body[at:]])
-            out.append({"n_bytes": len(body), "n_removed": len(body) - len(kept), "n_spans": len(spans), "spans": [{"start": s, "end": e} for s, e in spans], "kept": kept})
+            n_removed = len(body) - len(kept)
+            if whole_characters and spans:
+                kept = kept.decode("utf-8", "ignore").encode()
+            out.append({"n_bytes": len(body), "n_removed": n_removed, "n_spans": len(spans), "spans": [{"start": s, "end": e} for s, e in spans], "kept": kept})
         return _lean(pa.table({"row": left.column("row"), "id": left.column("id"), "absent": left.column("absent"), "found": pa.array(out, result_type)}))
 
     def owned(ids: np.ndarray, a: np.ndarray, b: np.ndarray, hot: tuple) -> np.ndarray:
@@ -477,14 +481,8 @@ def remove_repeats(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", t
     A character that a cut goes through is dropped whole; ``n_chars``, where it
     is a column, follows the text.
     """
-    out = repeated_passages(spark, df, id_col, text_col, window)
-    kept = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(_valid_utf8("kept"))
-    return replaced_text(df, out, text_col, kept)
-
-
-def _valid_utf8(col: str) -> F.Column:
-    """Bytes as text; what is left of a cut character goes."""
-    return F.regexp_replace(F.make_valid_utf8(F.col(col).cast("string")), "�", "")
+    out = repeated_passages(spark, df, id_col, text_col, window, whole_characters=True)
+    return replaced_text(df, out, text_col, F.col("kept").cast("string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
