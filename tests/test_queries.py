@@ -33,7 +33,7 @@ def test_query(spark, db, name):
     df = queries.QUERIES[name](spark, SF)
     rows = df.collect()
     if name not in queries.SQL:
-        assert rows or not rows
+        assert df.columns and isinstance(rows, list)
         return
     found = db.sql(queries.SQL[name])
     names = [c[0] for c in found.description]

@@ -59,7 +59,8 @@ register("discover_or", _either)
 EACH = Arc("place order", "ship item", "EF", 1, None, each=("order",))
 OWN = "so AS (SELECT ev_id AS s, ob_id, ev_time AS a FROM e2o WHERE ev_type = 'place order' AND ob_type = 'order'), ts AS (SELECT ev_id AS t, ob_id, ev_time AS b FROM e2o WHERE ev_type = 'ship item' AND ob_type = 'order')"
 SHARE = "SELECT count(*) AS rows, count(*) FILTER (bad) AS violated, CASE WHEN count(*) > 0 THEN count(*) FILTER (bad) / count(*) ELSE 0 END AS share FROM v"
-register("ocd_violation_each", lambda log: declare.violation(log, EACH), SHARE, f"{OWN}, v AS (SELECT s, ob_id, count(t) < 1 AS bad FROM so LEFT JOIN ts USING (ob_id) GROUP BY s, ob_id)".replace("LEFT JOIN ts USING (ob_id)", "LEFT JOIN ts ON ts.ob_id = so.ob_id AND b > a").replace("SELECT s, ob_id,", "SELECT s, so.ob_id,").replace("GROUP BY s, ob_id", "GROUP BY s, so.ob_id"))
+VIOLATED = "v AS (SELECT s, so.ob_id, count(t) < 1 AS bad FROM so LEFT JOIN ts ON ts.ob_id = so.ob_id AND b > a GROUP BY s, so.ob_id)"
+register("ocd_violation_each", lambda log: declare.violation(log, EACH), SHARE, f"{OWN}, {VIOLATED}")
 register(
     "ocd_violation_counts", lambda log: declare.violation(log, Arc("place order", "ship item", "AS", 2, 5, each=("order",))), SHARE,
     f"{OWN}, v AS (SELECT s, so.ob_id, count(t) NOT BETWEEN 2 AND 5 AS bad FROM so LEFT JOIN ts ON ts.ob_id = so.ob_id GROUP BY s, so.ob_id)",
@@ -73,7 +74,7 @@ register(
     "ocd_violation_directly", lambda log: declare.violation(log, Arc("click", "purchase", "DF", 1, None, each=("customer",))), SHARE,
     "eo AS (SELECT DISTINCT ob_id, ev_id, ev_type, ev_time FROM e2o WHERE ob_type = 'customer'), l AS (SELECT *, lead(ev_type) OVER w AS nxt, lead(ev_time) OVER w AS nt FROM eo WINDOW w AS (PARTITION BY ob_id ORDER BY ev_time, ev_id)), v AS (SELECT ev_id, NOT coalesce(nxt = 'purchase' AND nt > ev_time, false) AS bad FROM l WHERE ev_type = 'click')",
 )
-register("ocd_conformance", lambda log: declare.conformance(log, EACH), "SELECT 1 - count(*) FILTER (bad) / count(*) AS conformance FROM v", f"{OWN}, v AS (SELECT s, so.ob_id, count(t) < 1 AS bad FROM so LEFT JOIN ts ON ts.ob_id = so.ob_id AND b > a GROUP BY s, so.ob_id)")
+register("ocd_conformance", lambda log: declare.conformance(log, EACH), "SELECT 1 - count(*) FILTER (bad) / count(*) AS conformance FROM v", f"{OWN}, {VIOLATED}")
 register(
     "ocd_activity_stats", lambda log: declare.activity_statistics(log, "ship item"),
     "SELECT 'objects per event' AS what, ob_type, k, count(*) AS n FROM (SELECT ob_type, ev_id, count(*) AS k FROM e2o WHERE ev_type = 'ship item' GROUP BY 1, 2) GROUP BY ALL UNION ALL SELECT 'events per object', ob_type, k, count(*) FROM (SELECT o.ob_type, o.ob_id, count(ev_id) AS k FROM object o LEFT JOIN e2o ON e2o.ob_id = o.ob_id AND ev_type = 'ship item' WHERE o.ob_type IN ('order', 'part', 'supplier') GROUP BY 1, 2) GROUP BY ALL",
