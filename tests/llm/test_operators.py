@@ -209,6 +209,28 @@ def test_drop_near_duplicates(spark, docs, empty):
     assert simhash.drop_near_duplicates(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [1500, 16 << 20])
+def test_drop_near_duplicates_by_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(3, 200))]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(3000)}"
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    out = simhash.drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(root)) and 25 < len(set(root)) < len(texts)
+
+
 # 5 and 6
 @pytest.fixture(scope="module")
 def tokenizers_():
