@@ -419,6 +419,35 @@ def test_url_model_learns(spark):
     assert sum(out[5000 + i] == "allow" for i in range(50)) >= 45 and sum(out[6000 + i] == "block" for i in range(50)) >= 45
 
 
+def test_url_scores_use_all_contexts(spark):
+    # more contexts than any fixed number of kept ones; plain counts of every length give the same scores
+    rng = random.Random(8)
+    host = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=24))
+    train = [(i, f"http://{host()}.org/x") for i in range(1500)] + [(2000 + i, f"http://{host()}.com/de/x") for i in range(300)]
+    ask = [(9000 + i, train[i * 17][1].replace(".org/x", ".net/x")) for i in range(60)]
+    out = {r["id"]: r["score"] for r in urls.filter_urls(spark, spark.createDataFrame(train + ask, "page_id long, url string"), urls.RULES).collect()}
+    held = {r[0] for r in spark.createDataFrame([(u[7:],) for _, u in train], "body string").filter(F.pmod(F.xxhash64(F.lit("urls"), "body"), F.lit(5)) == 0).collect()}
+    counts = [[defaultdict(lambda: defaultdict(int)) for _ in range(7)] for _ in range(2)]
+    codes = lambda body: bytes([urls.START]) * 6 + body.encode().translate(urls.ALPHABET)
+    for _, url in train:
+        if url[7:] not in held:
+            x = codes(url[7:])
+            for at in range(6, len(x)):
+                for n in range(7):
+                    counts[".org/" in url][n][x[at - n : at]][x[at]] += 1
+    for i, url in ask:
+        x, total = codes(url[7:]), 0.0
+        for at in range(6, len(x)):
+            for good in (0, 1):
+                p = 1 / 32
+                for n in range(7):
+                    if seen := counts[good][n].get(x[at - n : at]):
+                        p = (seen.get(x[at], 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+                total += np.log(p) * (2 * good - 1)
+        assert abs(out[i] - total / (len(x) - 6)) < 1e-4
+    assert sum(len(c) for by in counts for c in by[4:]) > 1 << 15
+
+
 def test_blended_probabilities_sum_to_one():
     counts = np.zeros(urls.SYMBOLS**4)
     counts[np.random.default_rng(0).integers(0, len(counts), 5000)] += 3

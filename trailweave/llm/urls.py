@@ -4,8 +4,8 @@ URLs that a rule decides train two character models, one of accepted and one of
 rejected URLs: variable-order Markov models over an alphabet of 32 symbols, blended
 by Witten-Bell weights, so that an unseen context falls back to a shorter one.
 Counts of contexts up to ``LONGEST`` symbols are gathered from all decided URLs.
-A model holds all contexts of up to three symbols (32^4 numbers) and the ``STATES``
-most frequent longer ones, which bounds what is broadcast whatever the input's size.
+Contexts of up to three symbols (32^4 numbers) are broadcast; all longer ones stay a
+table, which the distinct grams of the URLs to be judged are joined to.
 Other URLs are judged by the difference of the two log-likelihoods per
 character, against a threshold calibrated on a held-out fifth of decided URLs.
 
@@ -22,14 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialize
 
 SYMBOLS = 32
 START, OTHER = 31, 30
 LONGEST = 6  #: symbols of the longest context
-STATES = 1 << 15  #: most contexts of over three symbols in a model
+SCALE = 1 << 32  #: log-likelihoods are summed as integers, so that their order does not matter
 BINS, SPAN = 800, 8.0  #: histogram of held-out scores, from -SPAN to SPAN
 #: Rules of the registered query, as (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -94,6 +93,11 @@ def probabilities(counts: np.ndarray) -> np.ndarray:
     return lower.reshape(-1)
 
 
+def witten_bell(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """``lower`` blended with ``n`` of ``total`` symbols seen after a context; itself where nothing was."""
+    return np.where(total > 0, (n + kinds * lower) / np.maximum(total + kinds, 1), lower)
+
+
 class Longer:
     """Counts after the kept contexts of one length: sorted contexts with totals and kinds, sorted grams with counts, per class."""
 
@@ -111,31 +115,11 @@ class Longer:
         known = (self.contexts[at] == index // SYMBOLS) & (total > 0)
         to = np.minimum(np.searchsorted(self.grams, index), len(self.grams) - 1)
         n = np.where(self.grams[to] == index, self.counts[to, good], 0.0)
-        return np.where(known, (n + kinds * lower) / np.maximum(total + kinds, 1), lower)
-
-
-class UrlModel:
-    """Probabilities after short contexts, counts after longer ones, and the threshold."""
-
-    def __init__(self, short: list[np.ndarray] | None, longer: list[Longer], threshold: float = 0.0):
-        self.short, self.longer, self.threshold = short, longer, threshold
+        return witten_bell(n, np.where(known, total, 0), kinds, lower)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Log-likelihood difference per character; 0 for empty texts and without a model."""
-        index, owner = _grams(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        if self.short is None or not len(index):
-            return np.zeros(len(texts))
-        both = [self.short[good][index] for good in (0, 1)]
-        for symbols, longer in enumerate(self.longer, 5):
-            index, _ = _grams(texts, symbols)
-            both = [longer.blend(index, both[good], good) for good in (0, 1)]
-        return np.bincount(owner, weights=np.log(both[1]) - np.log(both[0]), minlength=len(texts)) / np.maximum(n, 1)
 
-
-def learn(spark: SparkSession, decided: DataFrame) -> UrlModel:
-    """A model from ``body`` (host and path) and ``verdict`` of URLs that rules decide."""
-    parted = decided.select("body", (F.col("verdict") == "allow").alias("good"), (F.pmod(F.xxhash64(F.lit("urls"), "body"), F.lit(5)) == 0).alias("held"))
+def gram_ratios(spark: SparkSession, training: DataFrame, grams: DataFrame) -> DataFrame | None:
+    """(gram, ratio): the ``SCALE``d log-likelihood difference of each gram's last symbol, from ``body`` and ``good`` of URLs; None if one class has none."""
     lengths = range(4, LONGEST + 2)
 
     def count(batches):
@@ -148,59 +132,75 @@ def learn(spark: SparkSession, decided: DataFrame) -> UrlModel:
                 rejected = np.bincount(which, minlength=len(seen)) - accepted
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), n, np.int32)), pa.array(seen), pa.array(rejected), pa.array(accepted)], ["n", "gram", "bad", "good"])
 
-    counted = parted.filter(~F.col("held")).mapInArrow(count, "n int, gram long, bad long, good long")
+    counted = training.mapInArrow(count, "n int, gram long, bad long, good long")
     sums = materialize(spark, counted.groupBy("n", "gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     counts = np.zeros((2, SYMBOLS**4))
     for _, gram, bad, good in sums.filter("n = 4").toLocalIterator():  # at most 32^4 rows
         counts[:, gram] = bad, good
     if not counts.any(axis=1).all():
-        return UrlModel(None, [])
+        return None
+    short = spark.sparkContext.broadcast([probabilities(c).astype(np.float32) for c in counts])
     contexts = sums.filter("n > 4").groupBy("n", F.shiftright("gram", 5).alias("context")).agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.when(F.col("bad") > 0, 1)).alias("bad_kinds"), F.count(F.when(F.col("good") > 0, 1)).alias("good_kinds")
     )
-    kept = materialize(spark, contexts.orderBy(F.desc(F.col("bad") + F.col("good")), "n", "context").limit(STATES))
-    # at most STATES contexts of at most 32 grams each
-    grams = sums.join(F.broadcast(kept.select("n", "context")), (sums["n"] == kept["n"]) & (F.shiftright(sums["gram"], 5) == kept["context"]), "left_semi")
-    states, after = sorted(tuple(r) for r in kept.collect()), sorted(tuple(r) for r in grams.collect())
-    longer = [Longer([r[1:] for r in states if r[0] == n], [r[1:] for r in after if r[0] == n]) for n in lengths if n > 4]
-    model = UrlModel([probabilities(c).astype(np.float32) for c in counts], longer)
-    sent = spark.sparkContext.broadcast(model)
-
-    def spread(batches):
-        total = np.zeros((2, BINS), np.int64)
+    contexts = materialize(spark, contexts)
+    known = grams.select("gram").distinct()
+    for n in lengths[1:]:
+        known = known.withColumn("g", F.col("gram").bitwiseAND(F.lit((1 << 5 * n) - 1))).withColumn("c", F.shiftright("g", 5))
+        seen = sums.filter(F.col("n") == n).select(F.col("gram").alias("g"), F.col("bad").alias(f"n{n}0"), F.col("good").alias(f"n{n}1"))
+        after = contexts.filter(F.col("n") == n).select(F.col("context").alias("c"), F.col("bad").alias(f"total{n}0"), F.col("good").alias(f"total{n}1"), F.col("bad_kinds").alias(f"kinds{n}0"), F.col("good_kinds").alias(f"kinds{n}1"))
+        known = known.join(seen, "g", "left").join(after, "c", "left").drop("g", "c")
+
+    def rate(batches):
         for batch in batches:
-            bins = np.clip(((sent.value.scores(batch.column("body").to_pylist()) + SPAN) * (BINS / (2 * SPAN))).astype(int), 0, BINS - 1)
+            gram = batch.column("gram").to_numpy()
+            both = []
             for good in (0, 1):
-                total[good] += np.bincount(bins[np.array(batch.column("good").to_pylist(), int) == good], minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(total[0]), pa.array(total[1])], ["bin", "bad", "good"])
+                p = short.value[good][gram & (SYMBOLS**4 - 1)].astype(float)
+                for n in lengths[1:]:
+                    p = witten_bell(*(np.nan_to_num(batch.column(f"{c}{n}{good}").to_numpy(zero_copy_only=False).astype(float)) for c in ("n", "total", "kinds")), p)
+                both.append(np.log(p))
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.rint((both[1] - both[0]) * SCALE).astype(np.int64))], ["gram", "ratio"])
+
+    return materialize(spark, known.mapInArrow(rate, "gram long, ratio long"))
 
-    rows = parted.filter("held").mapInArrow(spread, "bin long, bad long, good long").groupBy("bin").agg(F.sum("bad"), F.sum("good")).collect()  # BINS rows
+
+def calibrated(held: DataFrame) -> float:
+    """The threshold of best balanced accuracy over ``score`` and ``good``; 0 if one class has none."""
+    at = F.least(F.greatest(((F.col("score") + SPAN) * (BINS / (2 * SPAN))).cast("int"), F.lit(0)), F.lit(BINS - 1))
+    rows = held.groupBy(at.alias("bin")).agg(F.count(F.when(~F.col("good"), 1)), F.count(F.when(F.col("good"), 1))).collect()  # BINS rows
     bad, good = np.zeros(BINS + 1), np.zeros(BINS + 1)
     for b, x, y in rows:
         bad[b + 1], good[b + 1] = x, y
-    if bad.sum() and good.sum():
-        # balanced accuracy of accepting from each bin upwards; the middle of the best bins
-        right = np.cumsum(bad) / bad.sum() + 1 - np.cumsum(good) / good.sum()
-        model.threshold = float(np.flatnonzero(right >= right.max() - 1e-12).mean() * (2 * SPAN / BINS) - SPAN)
-    return model
+    if not (bad.sum() and good.sum()):
+        return 0.0
+    # balanced accuracy of accepting from each bin upwards; the middle of the best bins
+    right = np.cumsum(bad) / bad.sum() + 1 - np.cumsum(good) / good.sum()
+    return float(np.flatnonzero(right >= right.max() - 1e-12).mean() * (2 * SPAN / BINS) - SPAN)
 
 
 def filter_urls(spark: SparkSession, df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id``, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (null where a rule decides) of every row."""
     rule, verdict = rule_columns(rules)
     split = split_url(df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"))).select("id", "host", "path", F.concat("host", "path").alias("body"), rule.alias("rule"), verdict.alias("verdict"))
-    model = spark.sparkContext.broadcast(learn(spark, split.filter(F.col("verdict").isNotNull())))
-    schema = T.StructType([*[f for f in split.schema if f.name != "body"], T.StructField("score", T.DoubleType())])
+    keys = ["k", "l"]  # 128 bits of the text
+    split = split.withColumns({"k": F.xxhash64("body"), "l": F.xxhash64(F.lit("text"), "body"), "good": F.col("verdict") == "allow", "held": F.pmod(F.xxhash64(F.lit("urls"), "body"), F.lit(5)) == 0})
 
-    def run(batches):
+    def spell(batches):
         for batch in batches:
-            given = batch.column("verdict").to_pylist()
-            scores = model.value.scores(batch.column("body").to_pylist()).tolist()
-            says = [g or ("allow" if s >= model.value.threshold else "block") for g, s in zip(given, scores, strict=True)]
-            scores = [None if g else s for g, s in zip(given, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "host", "path", "rule")], pa.array(says, pa.string()), pa.array(scores, pa.float64())], ["id", "host", "path", "rule", "verdict", "score"])
-
-    return split.mapInArrow(run, schema)
+            index, owner = _grams(batch.column("body").to_pylist(), LONGEST + 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in keys), pa.array(index)], [*keys, "gram"])
+
+    asked = split.filter("verdict is null or held").select(*keys, "body").dropDuplicates(keys)
+    grams = materialize(spark, asked.mapInArrow(spell, "k long, l long, gram long"))
+    ratios = gram_ratios(spark, split.filter("verdict is not null and not held").select("body", "good"), grams)
+    if ratios is None:
+        return split.select("id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.when(F.col("verdict").isNull(), 0.0).alias("score"))
+    scores = materialize(spark, grams.join(ratios, "gram").groupBy(*keys).agg((F.sum("ratio") / SCALE / F.count(F.lit(1))).alias("score")))
+    scored = split.join(scores, keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    threshold = calibrated(scored.filter("verdict is not null and held"))
+    says = F.coalesce("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
+    return scored.select("id", "host", "path", "rule", says.alias("verdict"), F.when(F.col("verdict").isNull(), F.col("score")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
