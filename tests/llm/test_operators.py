@@ -419,6 +419,14 @@ def test_url_model_learns(spark):
     assert sum(out[5000 + i] == "allow" for i in range(50)) >= 45 and sum(out[6000 + i] == "block" for i in range(50)) >= 45
 
 
+def test_url_model_sees_query_strings(spark):
+    good = [(i, f"http://site{i}.org/page?from=garden") for i in range(200)]
+    bad = [(1000 + i, f"http://site{i}.com/de/page?from=casino") for i in range(200)]
+    ask = [(5000, "http://s.net/page?from=garden"), (5001, "http://s.net/page?from=casino"), (5002, "garden"), (5003, None)]
+    out = {r["id"]: (r["verdict"], r["score"]) for r in urls.filter_urls(spark, spark.createDataFrame(good + bad + ask, "page_id long, url string"), urls.RULES).collect()}
+    assert out[5000][1] > out[5001][1] and out[5000][0] == "allow" and out[5001][0] == "block" and out[5002][1] != 0 and out[5003][1] == 0
+
+
 def test_url_scores_use_all_contexts(spark):
     # more contexts than any fixed number of kept ones; plain counts of every length give the same scores
     rng = random.Random(8)
@@ -426,17 +434,17 @@ def test_url_scores_use_all_contexts(spark):
     train = [(i, f"http://{host()}.org/x") for i in range(1500)] + [(2000 + i, f"http://{host()}.com/de/x") for i in range(300)]
     ask = [(9000 + i, train[i * 17][1].replace(".org/x", ".net/x")) for i in range(60)]
     out = {r["id"]: r["score"] for r in urls.filter_urls(spark, spark.createDataFrame(train + ask, "page_id long, url string"), urls.RULES).collect()}
-    held = {r[0] for r in spark.createDataFrame([(u[7:],) for _, u in train], "body string").filter(F.pmod(F.xxhash64(F.lit("urls"), "body"), F.lit(5)) == 0).collect()}
+    held = {r[0] for r in spark.createDataFrame([(u,) for _, u in train], "body string").filter(F.pmod(F.xxhash64(F.lit("urls"), "body"), F.lit(5)) == 0).collect()}
     counts = [[defaultdict(lambda: defaultdict(int)) for _ in range(7)] for _ in range(2)]
     codes = lambda body: bytes([urls.START]) * 6 + body.encode().translate(urls.ALPHABET)
     for _, url in train:
-        if url[7:] not in held:
-            x = codes(url[7:])
+        if url not in held:
+            x = codes(url)
             for at in range(6, len(x)):
                 for n in range(7):
                     counts[".org/" in url][n][x[at - n : at]][x[at]] += 1
     for i, url in ask:
-        x, total = codes(url[7:]), 0.0
+        x, total = codes(url), 0.0
         for at in range(6, len(x)):
             for good in (0, 1):
                 p = 1 / 32

@@ -9,8 +9,10 @@ table, which the distinct grams of the URLs to be judged are joined to.
 Other URLs are judged by the difference of the two log-likelihoods per
 character, against a threshold calibrated on a held-out fifth of decided URLs.
 
-Defined cases: a null url, or one without ``://``, has empty host and path and
-scores 0; with no accepted or no rejected URL every score is 0 and the threshold
+The rules see host and path, the models the whole url.
+
+Defined cases: a null url, or one without ``://``, has empty host and path; a null
+or empty one scores 0; with no accepted or no rejected URL every score is 0 and the threshold
 0, so that the verdict is ``allow``; equal urls get equal verdicts.
 """
 
@@ -182,7 +184,7 @@ def calibrated(held: DataFrame) -> float:
 def filter_urls(spark: SparkSession, df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id``, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (null where a rule decides) of every row."""
     rule, verdict = rule_columns(rules)
-    split = split_url(df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"))).select("id", "host", "path", F.concat("host", "path").alias("body"), rule.alias("rule"), verdict.alias("verdict"))
+    split = split_url(df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"))).select("id", "host", "path", F.coalesce("url", F.lit("")).alias("body"), rule.alias("rule"), verdict.alias("verdict"))
     keys = ["k", "l"]  # 128 bits of the text
     split = split.withColumns({"k": F.xxhash64("body"), "l": F.xxhash64(F.lit("text"), "body"), "good": F.col("verdict") == "allow", "held": F.pmod(F.xxhash64(F.lit("urls"), "body"), F.lit(5)) == 0})
 
