@@ -231,6 +231,14 @@ def test_drop_near_duplicates_by_jaccard(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(root)) and 25 < len(set(root)) < len(texts)
 
 
+def test_drop_near_duplicates_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text)] * 3 + [(1, text + " x"), (2, text)] + [(None, text)] * 4 + [(None, "alone"), (None, "alone")]
+    out = simhash.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # rows without an id stay beside the one with the smallest: one for each group
+    assert sorted(str(r["doc_id"]) for r in out) == ["1", "None", "None"]
+
+
 # 5 and 6
 @pytest.fixture(scope="module")
 def tokenizers_():
