@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -128,16 +129,43 @@ def test_redaction(docs, empty):
 
 
 # 3
-def test_toxicity_on_held_out_labels(spark):
-    rows = {r["doc_id"]: r for r in toxicity.query(spark, SF.replace("sf0.001", "sf0.1")).collect()}
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(SF.replace("sf0.001", "sf0.1") + "/labels.parquet").collect()}
+@pytest.mark.parametrize(("size", "least"), [("sf0.1", 0.9), ("sf0.01", 0.8)])
+def test_toxicity_on_held_out_labels(spark, size, least):
+    # at sf0.01 two of the 18 held-out toxic documents hold no word of the lexicon: junk overwrote them
+    rows = {r["doc_id"]: r for r in toxicity.query(spark, SF.replace("sf0.001", size)).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(SF.replace("sf0.001", size) + "/labels.parquet").collect()}
     held = [(labels[i], rows[i]["predicted"]) for i in labels if i in rows and rows[i]["held_out"]]
     hit = sum(1 for t, p in held if t and p) / max(1, sum(t for t, _ in held))
     false = sum(1 for t, p in held if not t and p) / max(1, sum(1 - t for t, _ in held))
-    assert hit >= 0.9 and false <= 0.02
+    assert hit >= least and false <= 0.02
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.1") + "/documents.parquet").select("doc_id", "text")
+    lexicon = toxicity.learn_from_folds(spark, docs, spark.read.parquet(SF.replace("sf0.001", "sf0.1") + "/labels.parquet"))
+    assert lexicon.exceptions and lexicon.stems
+    some = docs.filter("doc_id % 10 = 3")
+    got_ = {r["id"]: (r["score"], r["hits"]) for r in toxicity.score(spark, some, lexicon).collect()}
+    a, b, c = lexicon.curve
+    kept_back = 0
+    for r in some.collect():
+        text = toxicity.fold(r["text"] or "")
+        words = re.findall(r"[^\W_]+", text)
+        total = n = 0
+        for i, word in enumerate(words):
+            stem = max((s for s in lexicon.stems if word.startswith(s)), key=len, default=None)
+            if stem:
+                phrases = {word, *([f"{words[i - 1]} {word}"] if i else []), *([f"{word} {words[i + 1]}"] if i + 1 < len(words) else [])}
+                if phrases & lexicon.exceptions:
+                    kept_back += 1
+                else:
+                    total, n = total + lexicon.stems[stem], n + 1
+        x = a + b * np.log1p(total) + c * np.log1p(100 * total / (text.count(" ") + text.count("\n") + 1))
+        assert got_[r["doc_id"]][1] == n and abs(got_[r["doc_id"]][0] - 1 / (1 + np.exp(-x))) < 1e-9
+    assert kept_back
+
+
 def test_toxicity_cases(spark, docs, empty):
     rng = random.Random(3)
     plain = [f"w{rng.randint(0, 50)} w{rng.randint(0, 50)} river stone w{rng.randint(0, 50)}" for _ in range(120)]
@@ -149,12 +177,19 @@ def test_toxicity_cases(spark, docs, empty):
     score = lambda t: lexicon.score(lexicon.features(t))
     assert score("such a nastyword") >= 0.7 > score("such a calm river")
     assert score("such a n4styw0rd") >= 0.7 and score("such a nаstywоrd") >= 0.7  # digits, Cyrillic letters
-    lexicon.exceptions = {("a", "nastyword")}
+    lexicon.exceptions = {"a nastyword"}
     assert score("such a nastyword") < 0.7
     none = labels.filter("toxic = 0")
     assert {r["score"] for r in toxicity.score(spark, docs, toxicity.learn_from_folds(spark, texts, none)).collect()} == {0.0}
     assert toxicity.drop_toxic(spark, docs, labels).columns == docs.columns
-    assert toxicity.score(spark, empty, lexicon).count() == 0
+    lexicon.exceptions = {"nastyword"}
+    assert score("nastyword") < 0.7
+    assert lexicon.phrases("one - two  __ three", 6) == ["two", "one two", "two three"] and lexicon.phrases("x" * 100 + " two", 101)[1] == "x" * 100 + " two"
+    assert toxicity.score(spark, empty, lexicon).count() == 0 == toxicity.drop_toxic(spark, empty, labels).count()
+    assert toxicity.score(spark, docs, lexicon).select("row.id", "row.kept").distinct().count() == docs.select("id", "kept").distinct().count()
+    long = spark.createDataFrame([(1, "calm " * 2_000_000 + "nastyword"), (2, "nastyword"), (2, "nastyword")], "doc_id long, text string")
+    lexicon.exceptions = set()
+    assert sorted(r["hits"] for r in toxicity.score(spark, long, lexicon).collect()) == [1, 1, 1]
 
 
 # 4
