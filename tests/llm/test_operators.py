@@ -65,6 +65,24 @@ def test_passages(spark, docs, pairs, monkeypatch, block, hot):
     assert out.select("row.kept").distinct().count() == 2  # an input column of the same name
 
 
+@pytest.mark.parametrize(("window", "hot"), [(50, 1), (50, 256), (120, 1), (120, 256), (200, 1), (200, 256)])
+def test_passages_of_other_windows(spark, monkeypatch, window, hot):
+    monkeypatch.setattr(passages, "HOT", hot)
+    monkeypatch.setattr(passages, "BLOCK_BYTES", 4000)
+    rng = random.Random(window)
+    base = ["".join(rng.choices("abcdefgh ", k=rng.randrange(50, 700))) for _ in range(12)]
+    rows = []
+    for i in range(40):
+        text = "".join(b[rng.randrange(len(b) // 2) :][: rng.randrange(20, 500)] for b in rng.sample(base, 3))
+        rows.append((i, text + (" " * 60 if i % 3 else "")))
+    # one trigger for all: runs of one byte, each beside other bytes
+    rows += [(100 + i, "".join(rng.choices("xyz", k=60)) + " " * (window - rng.randrange(5, 30)) + "".join(rng.choices("uvw", k=rng.randrange(3, 60)))) for i in range(60)]
+    # rows of one id with other texts, and without an id
+    rows += [(7, rows[3][1][10:]), (7, base[0] + base[1]), (None, base[2] + base[3]), (None, base[4])]
+    out = passages.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), window=window).withColumn("sha", F.sha2("kept", 256))
+    assert got(out, "id", "n_bytes", "n_removed", "n_spans", "sha") == sorted(brute.passages(rows, window), key=str)
+
+
 def test_passages_query(spark, corpus):
     assert got(passages.query(spark, SF), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.passages(corpus), key=str)
 
@@ -75,7 +93,7 @@ def test_passages_segments(monkeypatch):
     whole = list(passages._walk([data], np.array([0]), 50, 19))
     monkeypatch.setattr(passages, "SEGMENT", 400)
     parts = list(passages._walk([data], np.array([0]), 50, 19))
-    windows = lambda found: {(a, w + s) for _, shift, trigger, _, first, last, _, _ in found for s, a, f, x in zip(shift, trigger, first, last, strict=True) for w in range(f, x + 1)}
+    windows = lambda found: {(int(a) >> 16, w + s) for _, shift, trigger, _, first, last, _, _ in found for s, a, f, x in zip(shift, trigger, first, last, strict=True) for w in range(f, x + 1)}
     assert windows(whole) == windows(parts) and len(windows(whole)) == 2951
 
 

@@ -8,6 +8,8 @@ always lie in phrases with the same trigger, wherever they stand.
 * The **parse** is the sequence of phrase ids of each document.  Equal phrases
   are grouped over the corpus (smallest document per phrase): this settles every
   window of a repeated phrase at once and is all that highly repetitive text needs.
+  A phrase has at most 64 windows: where ``window`` is so wide that a trigger may have
+  more, they are told apart by their distance to the trigger, in steps of 64.
 * The **dictionary** holds the distinct phrases that share a trigger but differ,
   which happens at the ends of repeated passages.  For these the suffixes of at
   least ``window`` bytes are sorted (a suffix array over the dictionary) and
@@ -19,9 +21,15 @@ Documents are dealt to blocks of bounded size; each block sends one entry per
 distinct phrase with its smallest document, so a passage that fills a third of
 the corpus costs one entry per block.  All blocks read the same exchange.
 
-Defined cases: null or short text has no window and is kept whole; a null id
-orders before all others; rows with equal id count as one document; other
-columns, whatever their names, pass through in ``row``.
+Phrases are told apart by 128 bits (48 of the trigger, 80 of the phrase), windows of
+phrases that share a trigger by their bytes, windows of hot triggers by two independent
+64-bit hashes.
+
+Defined cases: null, empty or short text has no window and is kept whole; a null id
+orders before all others; rows with equal id count as one document, whatever their
+texts; of equal texts that of the smallest id stays; long texts are parsed in
+segments; an empty table gives no rows; other columns, whatever their names, pass
+through in ``row``.
 """
 
 from __future__ import annotations
@@ -36,13 +44,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, replaced_text
+from .common import packed, replaced_text, table
 
 TRIGGER = 19  #: bytes of a trigger
 SEGMENT = 1 << 17  #: windows worked on at once; positions fit 20 bits
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 4 << 20
-ENTRY_BYTES = 20
+ENTRY_BYTES = 24
+MASK = 64  #: most windows of a phrase
+LOW = np.uint64(0xFFFF)
 HOT = 256  #: distinct phrases of a trigger above which its windows are dealt out
 NULL_ID = -(1 << 63)
 
@@ -56,10 +66,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240501)
+def _tables(which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of bytes, powers of the base and of its inverse, of one of two independent rolling hashes."""
+    rng = np.random.default_rng(20240501 + which)
     letters = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 256, dtype=np.uint64)
-    base = 0x5851F42D4C957F2D
+    base = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)[which]
     inverse = pow(base, -1, 1 << 64)
     n = 2 * SEGMENT
 
@@ -76,12 +87,21 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, powers(base), powers(inverse)
 
 
-def _window_hashes(data: np.ndarray, window: int) -> np.ndarray:
-    """Hash (48 bits) of the window at each position."""
-    letters, up, down = _tables()
+def _sums(data: np.ndarray, which: int) -> np.ndarray:
+    """Running sums from which the hash of any span follows."""
+    letters, up, _ = _tables(which)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters[data] * up[: len(data)], out=total[1:])
-    return _mix((total[window:] - total[:-window]) * down[: len(data) - window + 1]) >> np.uint64(16)
+    return total
+
+
+def _spans(total: np.ndarray, first: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    return _mix((total[end] - total[first]) * _tables(which)[2][first])
+
+
+def _window_hashes(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the windows that start at ``at``."""
+    return tuple(_spans(_sums(data, which), at, at + window, which) for which in (0, 1))
 
 
 def _windows(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +122,15 @@ def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 def phrases(data: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     """Phrases of concatenated documents (``data`` bytes, exclusive ``ends``).
 
-    Returns trigger hash, phrase hash, first window, last window, trigger position.
+    Returns 48 bits of the trigger's hash with 16 of the phrase, 64 more of the phrase, first window, last
+    window, trigger position.
     """
     empty = (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
     n = len(data)
     if n < window:
         return empty
-    letters, up, down = _tables()
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(letters[data] * up[:n], out=total[1:])
-    kmer = _mix((total[k:] - total[:-k]) * down[: n - k + 1])
+    total = _sums(data, 0)
+    kmer = _mix((total[k:] - total[:-k]) * _tables(0)[2][: n - k + 1])
     key = (kmer & ~np.uint64(0xFFFFF)) | np.arange(n - k + 1, dtype=np.uint64)
     at = (_sliding_min(key, window - k + 1) & np.uint64(0xFFFFF)).astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]])
@@ -123,6 +141,9 @@ def phrases(data: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np
     valid = np.cumsum(valid[:-1], dtype=np.int8)[: len(at)].astype(bool)
     new = valid.copy()
     new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
+    if window - k >= MASK:
+        step = (at - np.arange(len(at))) // MASK
+        new[1:] |= valid[1:] & (step[1:] != step[:-1])
     first = np.flatnonzero(new)
     if not len(first):
         return empty
@@ -130,9 +151,10 @@ def phrases(data: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np
     over[:-1] &= new[1:] | ~valid[1:]
     last = np.flatnonzero(over)
     pos = at[first]
-    body = _mix((total[last + window] - total[first]) * down[first])
     # triggers are small hashes by choice: mixed again, they spread over all buckets
-    return _mix(kmer[pos]) >> np.uint64(16), body >> np.uint64(16), first, last, pos
+    trigger = _mix(kmer[pos] + ((pos - first) // MASK).astype(np.uint64))
+    extra = _spans(_sums(data, 1), first, last + window, 1)
+    return (trigger & ~LOW) | (extra & LOW), _spans(total, first, last + window, 0), first, last, pos
 
 
 def _walk(bodies: list, ids: np.ndarray, window: int, k: int):
@@ -164,34 +186,27 @@ def _walk(bodies: list, ids: np.ndarray, window: int, k: int):
         yield flush(group)
 
 
-def _planes(a: np.ndarray, width: int = 8) -> bytes:
-    """Bytes of equal weight side by side: high bytes then compress away."""
-    return a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _unplanes(raw: bytes, n: int, width: int, kind: type) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
-    return out.reshape(-1).view(kind)
-
-
 def _pack(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
-    return _planes(a, 6) + _planes(b, 6) + _planes(c)
+    """Entries, with bytes of equal weight side by side: high bytes of ids then compress away."""
+    return b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in (a, b, c))
 
 
 def _unpack(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = []
-    for raw in raws:
-        n = len(raw) // 20
-        parts.append((_unplanes(raw[: 6 * n], n, 6, np.uint64), _unplanes(raw[6 * n : 12 * n], n, 6, np.uint64), _unplanes(raw[12 * n :], n, 8, np.int64)))
+    parts = [np.frombuffer(raw, np.uint8).reshape(3, 8, -1).transpose(0, 2, 1) for raw in raws if raw]
     if not parts:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    a, b, c = (np.ascontiguousarray(np.concatenate([p[i] for p in parts])).reshape(-1) for i in range(3))
+    return a.view(np.uint64), b.view(np.uint64), c.view(np.int64)
 
 
 def _bucket(a: np.ndarray, n: int) -> np.ndarray:
-    """Range of the 48-bit trigger hash, so that sorted hashes are sorted by bucket."""
-    return ((a >> np.uint64(16)) * np.uint64(n)) >> np.uint64(32)
+    """Range of the trigger's hash, so that sorted hashes are sorted by bucket."""
+    return ((a >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def _changes(a: np.ndarray) -> np.ndarray:
+    """True where a sorted array's value differs from the one before; the first always does."""
+    return np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]])
 
 
 def _smallest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -282,21 +297,21 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
         """For each block: phrases that an earlier document elsewhere has, and phrases whose bytes are asked for."""
         blobs, names = table.column("entries").to_pylist(), table.column("block").to_numpy()
         a, b, d = _unpack(blobs)
-        owner = np.repeat(names, [len(x) // 20 for x in blobs])
+        owner = np.repeat(names, [len(x) // ENTRY_BYTES for x in blobs])
         order = np.lexsort((d, b, a))
         a, b, d, owner = a[order], b[order], d[order], owner[order]
         same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
         lead = np.flatnonzero(np.concatenate([[True], ~same]))
         which = np.cumsum(np.concatenate([[True], ~same])) - 1
         least = d[lead][which]
-        trigger = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        group_of = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1
+        other = _changes(a & ~LOW)
+        trigger, group_of = np.flatnonzero(other), np.cumsum(other) - 1
         lowest, highest = np.minimum.reduceat(d, trigger), np.maximum.reduceat(least, trigger)
         kinds = np.zeros(len(a), np.int64)
         kinds[lead] = 1
         hot = (np.add.reduceat(kinds, trigger) > HOT)[group_of]
-        asked = np.zeros(len(a), bool)
-        asked[lead] = (lowest != highest)[group_of[lead]]
+        # rows of one id may lie in several blocks: each asks for itself
+        asked = (d == least) & (lowest != highest)[group_of]
         out = {"block": ([], pa.int64()), "kind": ([], pa.int32()), "entries": ([], pa.binary())}
         for kind, mask, value in ((0, least < d, least), (1, asked & ~hot, d), (3, asked & hot, d)):
             at = np.flatnonzero(mask)
@@ -326,7 +341,7 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
             at = owned(ids[rows], a, b, hot)
             if len(at):
                 piece, pos = _windows(first[at], last[at])
-                windows.append((a[at][piece], _window_hashes(data, window)[pos], ids[rows[at]][piece]))
+                windows.append((*_window_hashes(data, pos, window), ids[rows[at]][piece]))
         got.sort(key=lambda g: want[0][g[0]])
         h = np.array([g[0] for g in got], np.int64)
         a, b, d = want[0][h], want[1][h], want[2][h]
@@ -335,9 +350,7 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
                 out[name][0].append(v)
         if windows:
             a, b, d, _ = _smallest(*(np.concatenate(x) for x in zip(*windows, strict=True)))
-            order = np.argsort(b, kind="stable")
-            a, b, d = a[order], b[order], d[order]
-            for key, s, e in _cuts(_bucket(b, n_buckets)):
+            for key, s, e in _cuts(_bucket(a, n_buckets)):
                 for name, v in zip(out, (n_buckets + key, block, 3, _pack(a[s:e], b[s:e], d[s:e]), []), strict=True):
                     out[name][0].append(v)
         return _lean(_rows(out))
@@ -359,16 +372,17 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
 
     def settle(table: pa.Table) -> pa.Table:
         """Suffix array of the dictionary, cut at ``window`` bytes: windows that an earlier document has too."""
-        a, b, d = _unpack(table.column("entries").to_pylist())
+        blobs = table.column("entries").to_pylist()
+        a, b, d = _unpack(blobs)
+        owner = np.repeat(table.column("block").to_numpy(), [len(x) // ENTRY_BYTES for x in blobs])
         if table.column("kind")[0].as_py() == 3:
-            return _lean(_rows(shared_windows(a, b, d, np.repeat(table.column("block").to_numpy(), [len(x) // 20 for x in table.column("entries").to_pylist()]))))
+            return _lean(_rows(shared_windows(a, b, d, owner)))
         texts = [x for blob in table.column("phrases").to_pylist() for x in blob]
-        owner = np.repeat(table.column("block").to_numpy(), [len(x) // 20 for x in table.column("entries").to_pylist()])
         mask = np.zeros(len(a), np.uint64)
         order = np.argsort(a, kind="stable")
         # whole trigger groups, about a million suffixes at a time
         sizes = np.array([len(t) - window + 1 for t in texts], np.int64)[order]
-        bounds = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]]))
+        bounds = np.flatnonzero(_changes(a[order] & ~LOW))
         cum = np.concatenate([[0], np.cumsum(sizes)])
         start = 0
         while start < len(order):
@@ -414,7 +428,7 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
             at = owned(ids[rows], a, b, hot)
             if len(at):
                 piece, pos = _windows(first[at], last[at])
-                windows.append((a[at][piece], _window_hashes(data, window)[pos], ids[rows[at]][piece], rows[at][piece], pos + shift[at][piece]))
+                windows.append((*_window_hashes(data, pos, window), ids[rows[at]][piece], rows[at][piece], pos + shift[at][piece]))
         marks = [[] for _ in bodies]
         if windows:
             a, b, d, rows, pos = (np.concatenate(x) for x in zip(*windows, strict=True))
@@ -486,6 +500,5 @@ def remove_repeats(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", t
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = repeated_passages(spark, docs.select("doc_id", "text"))
+    out = repeated_passages(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
