@@ -90,10 +90,10 @@ def test_passages_query(spark, corpus):
 def test_passages_segments(monkeypatch):
     """Texts longer than a segment give the same windows."""
     data = np.frombuffer(bytes(random.Random(1).choices(b"abcdef ", k=3000)), np.uint8)
-    whole = list(passages._walk([data], np.array([0]), 50, 19))
+    whole = list(passages._walk([data], 50, 19))
     monkeypatch.setattr(passages, "SEGMENT", 400)
-    parts = list(passages._walk([data], np.array([0]), 50, 19))
-    windows = lambda found: {(int(a) >> 16, w + s) for _, shift, trigger, _, first, last, _, _ in found for s, a, f, x in zip(shift, trigger, first, last, strict=True) for w in range(f, x + 1)}
+    parts = list(passages._walk([data], 50, 19))
+    windows = lambda found: {(int(a) >> 16, w + s) for _, shift, trigger, _, first, last, _ in found for s, a, f, x in zip(shift, trigger, first, last, strict=True) for w in range(f, x + 1)}
     assert windows(whole) == windows(parts) and len(windows(whole)) == 2951
 
 

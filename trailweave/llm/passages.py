@@ -19,7 +19,8 @@ always lie in phrases with the same trigger, wherever they stand.
 
 Documents are dealt to blocks of bounded size; each block sends one entry per
 distinct phrase with its smallest document, so a passage that fills a third of
-the corpus costs one entry per block.  All blocks read the same exchange.
+the corpus costs one entry per block.  All steps of a block read the same exchange and
+see its phrases in the same order, so answers are a byte per entry.
 
 Phrases are told apart by 128 bits (48 of the trigger, 80 of the phrase), windows of
 phrases that share a trigger by their bytes, windows of hot triggers by two independent
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import ctypes
 from contextlib import suppress
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -99,18 +101,6 @@ def _spans(total: np.ndarray, first: np.ndarray, end: np.ndarray, which: int) ->
     return _mix((total[end] - total[first]) * _tables(which)[2][first])
 
 
-def _window_hashes(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the windows that start at ``at``."""
-    return tuple(_spans(_sums(data, which), at, at + window, which) for which in (0, 1))
-
-
-def _windows(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase number, position) of every window of phrases."""
-    count = last - first + 1
-    piece = np.repeat(np.arange(len(first)), count)
-    return piece, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[piece]
-
-
 def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     m = 1
     while 2 * m <= w:
@@ -157,8 +147,8 @@ def phrases(data: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np
     return (trigger & ~LOW) | (extra & LOW), _spans(total, first, last + window, 0), first, last, pos
 
 
-def _walk(bodies: list, ids: np.ndarray, window: int, k: int):
-    """Phrases of a block in pieces: (row numbers, window starts within the row, arrays of ``phrases``, bytes)."""
+def _walk(bodies: list, window: int, k: int):
+    """Phrases of a block in pieces of at most ``SEGMENT`` bytes: (row numbers, window starts within the row, arrays of ``phrases``)."""
     def flush(group):
         data = np.concatenate([g[2] for g in group])
         ends = np.cumsum([len(g[2]) for g in group])
@@ -167,7 +157,7 @@ def _walk(bodies: list, ids: np.ndarray, window: int, k: int):
         base = np.concatenate([[0], ends[:-1]])[piece]
         rows = np.array([g[0] for g in group])[piece]
         shift = np.array([g[1] for g in group])[piece] - base
-        return rows, shift, a, b, first, last, pos, data
+        return rows, shift, a, b, first, last, pos
 
     group, size = [], 0
     for row, body in enumerate(bodies):
@@ -186,17 +176,16 @@ def _walk(bodies: list, ids: np.ndarray, window: int, k: int):
         yield flush(group)
 
 
-def _pack(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
-    """Entries, with bytes of equal weight side by side: high bytes of ids then compress away."""
-    return b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in (a, b, c))
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte numbers, with bytes of equal weight side by side: high bytes then compress away."""
+    return b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns)
 
 
-def _unpack(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(raw, np.uint8).reshape(3, 8, -1).transpose(0, 2, 1) for raw in raws if raw]
+def _unpack(raws: list[bytes], *kinds: type) -> list[np.ndarray]:
+    parts = [np.frombuffer(raw, np.uint8).reshape(len(kinds), 8, -1).transpose(0, 2, 1) for raw in raws if raw]
     if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    a, b, c = (np.ascontiguousarray(np.concatenate([p[i] for p in parts])).reshape(-1) for i in range(3))
-    return a.view(np.uint64), b.view(np.uint64), c.view(np.int64)
+        return [np.empty(0, kind) for kind in kinds]
+    return [np.ascontiguousarray(np.concatenate([p[i] for p in parts])).reshape(-1).view(kind) for i, kind in enumerate(kinds)]
 
 
 def _bucket(a: np.ndarray, n: int) -> np.ndarray:
@@ -209,26 +198,13 @@ def _changes(a: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]])
 
 
-def _smallest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted by (a, b, d), the first of each (a, b); and the order."""
+def _distinct(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct (a, b), in order, has its smallest d; and which of them each entry is."""
     order = np.lexsort((d, b, a))
-    a, b, d = a[order], b[order], d[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[first], b[first], d[first], order[first]
-
-
-def _find(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
-    """Where each (a, b) stands in the distinct pairs (in_a, in_b); -1 if absent."""
-    if not len(in_a):
-        return np.full(len(a), -1, np.int64)
-    joint = lambda x, y: _mix(x * np.uint64(0x9E3779B97F4A7C15) + y)
-    keys = joint(in_a, in_b)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.minimum(np.searchsorted(keys, mine := joint(a, b)), len(keys) - 1)
-    hit = order[at]
-    return np.where((keys[at] == mine) & (in_a[hit] == a) & (in_b[hit] == b), hit, -1)
+    new = _changes(a[order]) | _changes(b[order])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 def _cuts(key: np.ndarray) -> list[tuple[int, int, int]]:
@@ -239,10 +215,6 @@ def _cuts(key: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(key[s]), int(s), int(e)) for s, e in zip(at, [*at[1:], len(key)], strict=True)]
 
 
-def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
-    return pa.table({name: pa.array(values, kind) for name, (values, kind) in columns.items()})
-
-
 def _bodies(table: pa.Table) -> list[np.ndarray]:
     """Views of the texts' bytes, without copies."""
     found = []
@@ -266,6 +238,96 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("id").fill_null(NULL_ID).to_numpy()
 
 
+@dataclass
+class Block:
+    """The phrases of a block's documents; all its steps see the distinct ones in the same order."""
+
+    ids: np.ndarray
+    bodies: list[np.ndarray]
+    row: np.ndarray  #: of each occurrence
+    start: np.ndarray  #: of its first window in the document
+    count: np.ndarray  #: of its windows
+    which: np.ndarray  #: distinct phrase
+    lead: np.ndarray  #: of each distinct phrase, the occurrence of smallest document id
+    a: np.ndarray
+    b: np.ndarray
+    d: np.ndarray  #: smallest document id
+
+    @classmethod
+    def of(cls, table: pa.Table, window: int, k: int) -> Block:
+        ids, bodies = _ids(table), _bodies(table)
+        parts = [(rows, first + shift, last - first + 1, a, b) for rows, shift, a, b, first, last, _ in _walk(bodies, window, k)]
+        none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        row, start, count, a, b = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
+        lead, which = _distinct(a, b, ids[row])
+        return cls(ids, bodies, row, start, count, which, lead, a[lead], b[lead], ids[row[lead]])
+
+    def text(self, i: int, window: int) -> np.ndarray:
+        """The bytes of an occurrence."""
+        return self.bodies[self.row[i]][self.start[i] : self.start[i] + self.count[i] + window - 1]
+
+    def windows(self, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """(occurrence, number in it, two independent hashes) of every window of the occurrences ``at``."""
+        parts, step = [], max(1, SEGMENT // (MASK + window))
+        for s in range(0, len(at), step):
+            some = at[s : s + step]
+            count = self.count[some]
+            data = np.concatenate([self.text(i, window) for i in some.tolist()])
+            base = np.cumsum(count + window - 1) - (count + window - 1)
+            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            pos = np.repeat(base, count) + offset
+            parts.append((np.repeat(some, count), offset, *(_spans(_sums(data, which), pos, pos + window, which) for which in (0, 1))))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def codes(self, blobs: dict[int, bytes], n_buckets: int) -> np.ndarray:
+        """The answer for each distinct phrase, from those for each bucket."""
+        return _aligned(self.a, blobs, n_buckets)
+
+
+def _aligned(a: np.ndarray, blobs: dict[int, bytes], n_buckets: int) -> np.ndarray:
+    """Answers for sorted entries; buckets that sent none have none to give."""
+    codes = np.zeros(len(a), np.uint8)
+    for key, s, e in _cuts(_bucket(a, n_buckets)):
+        if key in blobs:
+            codes[s:e] = np.frombuffer(blobs[key], np.uint8)
+    return codes
+
+
+def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of overlapping or adjacent spans of each row; ``width`` is over the largest end."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order] + row[order] * width, end[order] + row[order] * width
+    reach = np.maximum.accumulate(end) if len(end) else end
+    new = np.concatenate([np.ones(min(1, len(row)), bool), start[1:] > reach[:-1]])
+    last = np.flatnonzero(np.concatenate([new[1:], np.ones(min(1, len(row)), bool)]))
+    return row[new], start[new] - row[new] * width, reach[last] - row[new] * width
+
+
+#: Answers about a block's entry: an earlier document in another block has it; its bytes, or its windows, are asked for.
+EARLIER, ASKED, HOT_ASKED = 1, 2, 3
+#: Kinds of rows between steps: answers on phrases, bytes of phrases, windows of hot triggers or answers on them, masks of windows.
+CODES, SPELLED, WINDOWS, MASKS = 0, 1, 2, 3
+_SENT = {"bucket": pa.int64(), "block": pa.int64(), "kind": pa.int32(), "entries": pa.binary(), "phrases": pa.list_(pa.binary())}
+SENT = "bucket long, block long, kind int, entries binary, phrases array<binary>"
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    """Rows (bucket, block, kind, entries, phrases) to send."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_SENT)
+    return pa.table({name: pa.array(values, kind) for (name, kind), values in zip(_SENT.items(), columns, strict=True)})
+
+
+def _of_kind(table: pa.Table, kind: int) -> list[dict]:
+    return table.filter(pa.compute.equal(table.column("kind"), kind)).to_pylist()
+
+
+def _elsewhere(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Entries of all blocks (hash, id), which distinct one each is, where those have their smallest document, and that document."""
+    a, b, d = _unpack(blobs, np.uint64, np.uint64, np.int64)
+    lead, which = _distinct(a, b, d)
+    return a, d, which, lead, d[lead][which]
+
+
 def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, whole_characters: bool = False) -> DataFrame:
     """Bytes of each document covered by ``window``-byte strings that also start in a document of smaller id.
 
@@ -281,211 +343,141 @@ def repeated_passages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id"
     blocks = source.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(n_blocks)))
 
     def parse(table: pa.Table) -> pa.Table:
-        ids, found = _ids(table), []
-        for rows, _, a, b, *_ in _walk(_bodies(table), ids, window, k):
-            found.append((a, b, ids[rows]))
-        out = {"bucket": ([], pa.int64()), "block": ([], pa.int64()), "entries": ([], pa.binary())}
-        if found:
-            a, b, d, _ = _smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            block = table.column("block")[0].as_py()
-            for key, s, e in _cuts(_bucket(a, n_buckets)):
-                for name, v in zip(out, (key, block, _pack(a[s:e], b[s:e], d[s:e])), strict=True):
-                    out[name][0].append(v)
-        return _lean(_rows(out))
+        """A block's distinct phrases with their smallest document, by ranges of triggers."""
+        x, block = Block.of(table, window, k), table.column("block")[0].as_py()
+        return _lean(_rows([(key, block, CODES, _pack(x.a[s:e], x.b[s:e], x.d[s:e]), None) for key, s, e in _cuts(_bucket(x.a, n_buckets))]))
 
     def group(table: pa.Table) -> pa.Table:
-        """For each block: phrases that an earlier document elsewhere has, and phrases whose bytes are asked for."""
-        blobs, names = table.column("entries").to_pylist(), table.column("block").to_numpy()
-        a, b, d = _unpack(blobs)
-        owner = np.repeat(names, [len(x) // ENTRY_BYTES for x in blobs])
-        order = np.lexsort((d, b, a))
-        a, b, d, owner = a[order], b[order], d[order], owner[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        lead = np.flatnonzero(np.concatenate([[True], ~same]))
-        which = np.cumsum(np.concatenate([[True], ~same])) - 1
-        least = d[lead][which]
-        other = _changes(a & ~LOW)
-        trigger, group_of = np.flatnonzero(other), np.cumsum(other) - 1
-        lowest, highest = np.minimum.reduceat(d, trigger), np.maximum.reduceat(least, trigger)
-        kinds = np.zeros(len(a), np.int64)
-        kinds[lead] = 1
-        hot = (np.add.reduceat(kinds, trigger) > HOT)[group_of]
-        # rows of one id may lie in several blocks: each asks for itself
-        asked = (d == least) & (lowest != highest)[group_of]
-        out = {"block": ([], pa.int64()), "kind": ([], pa.int32()), "entries": ([], pa.binary())}
-        for kind, mask, value in ((0, least < d, least), (1, asked & ~hot, d), (3, asked & hot, d)):
-            at = np.flatnonzero(mask)
-            at = at[np.argsort(owner[at], kind="stable")]
-            for key, s, e in _cuts(owner[at]):
-                i = at[s:e]
-                for name, v in zip(out, (key, kind, _pack(a[i], b[i], value[i])), strict=True):
-                    out[name][0].append(v)
-        return _lean(_rows(out))
+        """For each block that sent phrases of these triggers, an answer for each phrase, in the order sent."""
+        blobs = table.column("entries").to_pylist()
+        a, d, which, lead, least = _elsewhere(blobs)
+        # distinct phrases are in order of their triggers
+        new = _changes(a[lead] & ~LOW)
+        trigger, of = np.flatnonzero(new), np.cumsum(new) - 1
+        lowest, highest = np.minimum.reduceat(d[lead], trigger), np.maximum.reduceat(d[lead], trigger)
+        hot = (np.bincount(of) > HOT)[of][which]
+        codes = np.where(least < d, EARLIER, np.where((lowest == highest)[of][which], 0, np.where(hot, HOT_ASKED, ASKED))).astype(np.uint8)
+        return _lean(_rows(answers(table, blobs, codes, CODES)))
+
+    def answers(table: pa.Table, blobs: list[bytes], codes: np.ndarray, kind: int) -> list[tuple]:
+        out, at = [], 0
+        for bucket, block, blob in zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), blobs, strict=True):
+            mine = codes[at : (at := at + len(blob) // ENTRY_BYTES)]
+            if mine.any():
+                out.append((bucket, block, kind, mine.tobytes(), None))
+        return out
 
     def spell(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The bytes of the phrases asked for; of phrases of hot triggers, hashes of their windows."""
-        want, hot = (_unpack(right.filter(pa.compute.equal(right.column("kind"), k)).column("entries").to_pylist()) for k in (1, 3))
-        out = {"bucket": ([], pa.int64()), "block": ([], pa.int64()), "kind": ([], pa.int32()), "entries": ([], pa.binary()), "phrases": ([], pa.list_(pa.binary()))}
-        if not len(want[0]) + len(hot[0]) or not left.num_rows:
-            return _lean(_rows(out))
-        block, ids, seen, got, windows = left.column("block")[0].as_py(), _ids(left), np.zeros(len(want[0]), bool), [], []
-        for rows, _, a, b, first, last, _, data in _walk(_bodies(left), ids, window, k):
-            hit = _find(a, b, want[0], want[1])
-            at = np.flatnonzero(hit >= 0)
-            at = at[ids[rows[at]] == want[2][hit[at]]]
-            at = at[~seen[hit[at]]]
-            hits, one = np.unique(hit[at], return_index=True)
-            seen[hits] = True
-            raw = data.tobytes()
-            got += [(h, raw[first[i] : last[i] + window]) for h, i in zip(hits.tolist(), at[one].tolist(), strict=True)]
-            at = owned(ids[rows], a, b, hot)
-            if len(at):
-                piece, pos = _windows(first[at], last[at])
-                windows.append((*_window_hashes(data, pos, window), ids[rows[at]][piece]))
-        got.sort(key=lambda g: want[0][g[0]])
-        h = np.array([g[0] for g in got], np.int64)
-        a, b, d = want[0][h], want[1][h], want[2][h]
-        for key, s, e in _cuts(_bucket(a, n_buckets)):
-            for name, v in zip(out, (key, block, 1, _pack(a[s:e], b[s:e], d[s:e]), [g[1] for g in got[s:e]]), strict=True):
-                out[name][0].append(v)
-        if windows:
-            a, b, d, _ = _smallest(*(np.concatenate(x) for x in zip(*windows, strict=True)))
-            for key, s, e in _cuts(_bucket(a, n_buckets)):
-                for name, v in zip(out, (n_buckets + key, block, 3, _pack(a[s:e], b[s:e], d[s:e]), []), strict=True):
-                    out[name][0].append(v)
+        """The bytes of the phrases asked for; of phrases of hot triggers, hashes of their windows; the answers for the last step."""
+        got = right.to_pylist()
+        if not got or not left.num_rows:
+            return _lean(_rows([]))
+        x, block = Block.of(left, window, k), left.column("block")[0].as_py()
+        codes = x.codes({r["bucket"]: r["entries"] for r in got}, n_buckets)
+        out = [(r["bucket"], block, CODES, r["entries"], None) for r in got]
+        want = np.flatnonzero(codes == ASKED)
+        for key, s, e in _cuts(_bucket(x.a[want], n_buckets)):
+            at = want[s:e]
+            out.append((key, block, SPELLED, _pack(x.a[at], at, x.d[at]), [x.text(i, window).tobytes() for i in x.lead[at].tolist()]))
+        a, b, d = hot_windows(x, x.lead[codes == HOT_ASKED])[:3]
+        out += [(n_buckets + key, block, WINDOWS, _pack(a[s:e], b[s:e], d[s:e]), None) for key, s, e in _cuts(_bucket(a, n_buckets))]
         return _lean(_rows(out))
 
-    def shared_windows(a: np.ndarray, b: np.ndarray, d: np.ndarray, owner: np.ndarray) -> dict:
-        """For each block: its windows of hot triggers that an earlier document elsewhere has, with that document."""
-        order = np.lexsort((d, b, a))
-        a, b, d, owner = a[order], b[order], d[order], owner[order]
-        lead = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        least = d[lead][np.cumsum(lead) - 1]
-        out = {"block": ([], pa.int64()), "kind": ([], pa.int32()), "entries": ([], pa.binary())}
-        at = np.flatnonzero(least < d)
-        at = at[np.argsort(owner[at], kind="stable")]
-        for key, s, e in _cuts(owner[at]):
-            i = at[s:e]
-            for name, v in zip(out, (key, 5, _pack(a[i], b[i], least[i])), strict=True):
-                out[name][0].append(v)
-        return out
+    def hot_windows(x: Block, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct windows of the occurrences ``at`` (hashes, smallest id), and (occurrence, number in it, which) of all."""
+        if not len(at):
+            return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 4
+        i, offset, a, b = x.windows(at, window)
+        d = x.ids[x.row[i]]
+        lead, which = _distinct(a, b, d)
+        return a[lead], b[lead], d[lead], i, offset, which
 
     def settle(table: pa.Table) -> pa.Table:
         """Suffix array of the dictionary, cut at ``window`` bytes: windows that an earlier document has too."""
-        blobs = table.column("entries").to_pylist()
-        a, b, d = _unpack(blobs)
-        owner = np.repeat(table.column("block").to_numpy(), [len(x) // ENTRY_BYTES for x in blobs])
-        if table.column("kind")[0].as_py() == 3:
-            return _lean(_rows(shared_windows(a, b, d, owner)))
-        texts = [x for blob in table.column("phrases").to_pylist() for x in blob]
+        out = [tuple(r[c] for c in _SENT) for r in _of_kind(table, CODES)]
+        hot = table.filter(pa.compute.equal(table.column("kind"), WINDOWS))
+        if hot.num_rows:
+            blobs = hot.column("entries").to_pylist()
+            _, d, _, _, least = _elsewhere(blobs)
+            out += answers(hot, blobs, np.where(least < d, EARLIER, 0).astype(np.uint8), WINDOWS)
+        spelled = _of_kind(table, SPELLED)
+        blobs = [r["entries"] for r in spelled]
+        a, index, d = _unpack(blobs, np.uint64, np.int64, np.int64)
+        owner = np.repeat(np.array([r["block"] for r in spelled], np.int64), [len(x) // ENTRY_BYTES for x in blobs])
+        texts = [x for r in spelled for x in r["phrases"]]
         mask = np.zeros(len(a), np.uint64)
         order = np.argsort(a, kind="stable")
-        # whole trigger groups, about a million suffixes at a time
+        # whole trigger groups, about as many suffixes at a time as a segment has windows
         sizes = np.array([len(t) - window + 1 for t in texts], np.int64)[order]
-        bounds = np.flatnonzero(_changes(a[order] & ~LOW))
-        cum = np.concatenate([[0], np.cumsum(sizes)])
+        bounds = np.append(np.flatnonzero(_changes(a[order] & ~LOW)), len(order))
+        done = np.concatenate([[0], np.cumsum(sizes)])
         start = 0
         while start < len(order):
-            stop = bounds[np.searchsorted(bounds, start, side="right") :]
-            far = stop[cum[stop] - cum[start] <= SEGMENT]
-            end = int(far[-1]) if len(far) else int(stop[0]) if len(stop) else len(order)
-            if cum[-1] - cum[start] <= SEGMENT:
-                end = len(order)
+            far = bounds[(bounds > start) & (done[bounds] - done[start] <= SEGMENT)]
+            end = int(far[-1]) if len(far) else int(bounds[np.searchsorted(bounds, start, side="right")])
             part = order[start:end]
             data = np.frombuffer(b"".join(texts[i] for i in part), np.uint8)
-            n = np.array([len(texts[i]) for i in part])
-            base = np.cumsum(n) - n
-            count = n - window + 1
+            count = sizes[start:end]
+            base = np.cumsum(count + window - 1) - (count + window - 1)
             piece = np.repeat(np.arange(len(part)), count)
             offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             suffix = np.lib.stride_tricks.sliding_window_view(data, window)[base[piece] + offset]
-            suffix = np.ascontiguousarray(suffix).view(f"V{window}").reshape(-1)
-            _, cls = np.unique(suffix, return_inverse=True) if len(suffix) else (None, np.empty(0, int))
+            _, cls = np.unique(np.ascontiguousarray(suffix).view(f"V{window}").reshape(-1), return_inverse=True)
             least = np.full(len(suffix), np.iinfo(np.int64).max)
             np.minimum.at(least, cls, d[part][piece])
             dup = least[cls] < d[part][piece]
             np.bitwise_or.at(mask, part[piece[dup]], np.uint64(1) << offset[dup].astype(np.uint64))
             start = end
-        out = {"block": ([], pa.int64()), "kind": ([], pa.int32()), "entries": ([], pa.binary())}
         at = np.flatnonzero(mask)
         at = at[np.argsort(owner[at], kind="stable")]
-        for key, s, e in _cuts(owner[at]):
-            i = at[s:e]
-            for name, v in zip(out, (key, 2, _pack(a[i], b[i], mask[i].view(np.int64))), strict=True):
-                out[name][0].append(v)
+        out += [(0, key, MASKS, _pack(index[at[s:e]], mask[at[s:e]]), None) for key, s, e in _cuts(owner[at])]
         return _lean(_rows(out))
 
     result_type = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
-        def read(kind: int):
-            return _unpack(right.filter(pa.compute.equal(right.column("kind"), kind)).column("entries").to_pylist())
-
-        earlier, partial, hot, elsewhere = read(0), read(2), read(3), read(5)
-        ids, bodies, parts, windows = _ids(left), _bodies(left), [], []
-        for rows, shift, a, b, first, last, _, data in _walk(bodies, ids, window, k):
-            parts.append((rows, shift, a, b, first, last))
-            at = owned(ids[rows], a, b, hot)
-            if len(at):
-                piece, pos = _windows(first[at], last[at])
-                windows.append((*_window_hashes(data, pos, window), ids[rows[at]][piece], rows[at][piece], pos + shift[at][piece]))
-        marks = [[] for _ in bodies]
-        if windows:
-            a, b, d, rows, pos = (np.concatenate(x) for x in zip(*windows, strict=True))
-            wa, wb, wd, _ = _smallest(a, b, d)
-            least = wd[_find(a, b, wa, wb)]
-            hit = _find(a, b, elsewhere[0], elsewhere[1])
-            least[hit >= 0] = np.minimum(least[hit >= 0], elsewhere[2][hit[hit >= 0]])
-            for i in np.flatnonzero(least < d).tolist():
-                marks[rows[i]].append((int(pos[i]), int(pos[i]) + window))
-        if parts:
-            rows, shift, a, b, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-            pa_, pb_, pd_, _ = _smallest(a, b, ids[rows])
-            least = pd_[_find(a, b, pa_, pb_)]
-            hit = _find(a, b, earlier[0], earlier[1])
-            least[hit >= 0] = np.minimum(least[hit >= 0], earlier[2][hit[hit >= 0]])
-            whole = least < ids[rows]
-            some = _find(a, b, partial[0], partial[1])
-            for i in np.flatnonzero(whole | (some >= 0)).tolist():
-                s, e = int(first[i] + shift[i]), int(last[i] + shift[i])
-                if whole[i]:
-                    marks[rows[i]].append((s, e + window))
-                else:
-                    bits = int(partial[2][some[i]]) & ((1 << 64) - 1)
-                    marks[rows[i]] += [(s + j, s + j + window) for j in range(e - s + 1) if bits >> j & 1]
+        """Spans that the answers cover, and what they leave of each document."""
+        x = Block.of(left, window, k)
+        codes = x.codes({r["bucket"]: r["entries"] for r in _of_kind(right, CODES)}, n_buckets)
+        mask = np.zeros(len(x.a), np.uint64)
+        index, bits = _unpack([r["entries"] for r in _of_kind(right, MASKS)], np.int64, np.uint64)
+        np.bitwise_or.at(mask, index, bits)
+        first = x.ids[x.row] == x.d[x.which]  # of the smallest document of the block that has the phrase
+        whole = np.flatnonzero(~first | (codes[x.which] == EARLIER))
+        row, start, end = [x.row[whole]], [x.start[whole]], [x.start[whole] + x.count[whole] + window - 1]
+        some = np.flatnonzero(first & (mask[x.which] != 0))
+        at, bit = np.nonzero((mask[x.which[some]][:, None] >> np.arange(MASK, dtype=np.uint64)) & np.uint64(1))
+        a, _, d, i, offset, which = hot_windows(x, np.flatnonzero(first & (codes[x.which] == HOT_ASKED)))
+        known = _aligned(a, {r["bucket"] - n_buckets: r["entries"] for r in _of_kind(right, WINDOWS)}, n_buckets)
+        hit = np.flatnonzero((known[which] == EARLIER) | (d[which] < x.ids[x.row[i]]))
+        for occurrence, nth in ((some[at], bit), (i[hit], offset[hit])):
+            row.append(x.row[occurrence])
+            start.append(x.start[occurrence] + nth)
+            end.append(x.start[occurrence] + nth + window)
+        longest = max(map(len, x.bodies), default=0)
+        row, start, end = _merged(np.concatenate(row), np.concatenate(start), np.concatenate(end), longest + 2)
+        cuts = np.searchsorted(row, np.arange(len(x.bodies) + 1)).tolist()
         out = []
-        for body, found in zip(bodies, marks, strict=True):
-            spans: list[list[int]] = []
-            for s, e in sorted(found):
-                if spans and s <= spans[-1][1]:
-                    spans[-1][1] = max(e, spans[-1][1])
-                else:
-                    spans.append([s, e])
+        for body, s, e in zip(x.bodies, cuts[:-1], cuts[1:], strict=True):
+            spans = list(zip(start[s:e].tolist(), end[s:e].tolist(), strict=True))
             at, keep = 0, []
-            for s, e in spans:
-                keep.append(body[at:s])
-                at = e
+            for low, high in spans:
+                keep.append(body[at:low])
+                at = high
             kept = b"".join([*keep, body[at:]])
             n_removed = len(body) - len(kept)
             if whole_characters and spans:
                 kept = kept.decode("utf-8", "ignore").encode()
-            out.append({"n_bytes": len(body), "n_removed": n_removed, "n_spans": len(spans), "spans": [{"start": s, "end": e} for s, e in spans], "kept": kept})
+            out.append({"n_bytes": len(body), "n_removed": n_removed, "n_spans": len(spans), "spans": [{"start": low, "end": high} for low, high in spans], "kept": kept})
         return _lean(pa.table({"row": left.column("row"), "id": left.column("id"), "absent": left.column("absent"), "found": pa.array(out, result_type)}))
 
-    def owned(ids: np.ndarray, a: np.ndarray, b: np.ndarray, hot: tuple) -> np.ndarray:
-        """Phrases of hot triggers in the document that has them first."""
-        hit = _find(a, b, hot[0], hot[1])
-        at = np.flatnonzero(hit >= 0)
-        return at[ids[at] == hot[2][hit[at]]]
-
-    entries = blocks.groupBy("block").applyInArrow(parse, "bucket long, block long, entries binary")
-    answers = entries.groupBy("bucket").applyInArrow(group, "block long, kind int, entries binary")
-    spelled = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(spell, "bucket long, block long, kind int, entries binary, phrases array<binary>")
-    settled = spelled.groupBy("bucket").applyInArrow(settle, "block long, kind int, entries binary")
+    entries = blocks.groupBy("block").applyInArrow(parse, SENT)
+    answered = entries.groupBy("bucket").applyInArrow(group, SENT)
+    spelled = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(spell, SENT)
+    settled = spelled.groupBy("bucket").applyInArrow(settle, SENT)
     found = "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
     schema = T.StructType([source.schema["row"], source.schema["id"], source.schema["absent"], T.StructField("found", T.StructType.fromDDL(found))])
-    both = answers.unionByName(settled)
-    final = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cover, schema)
+    final = blocks.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(cover, schema)
     return final.select("row", "id", "absent", "found.*")
 
 
