@@ -420,6 +420,33 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r["file"]: r["sha256"] for r in again.collect()} == files
 
 
+@pytest.mark.parametrize("ids", ["near", "far", "one"])
+def test_warc_shards_are_even(spark, tmp_path, ids):
+    """Ids in clusters, with one far outlier, or mostly equal or null: no task gets more than a shard or so."""
+    rng = random.Random(5)
+    id_of = {"near": lambda i: i, "far": lambda i: (1 << 63) - 1 if i == 0 else -(1 << 62) if i == 1 else 1000 * (i % 3) + i, "one": lambda i: None if i % 3 == 0 else 7 if i % 3 == 1 else i}[ids]
+    rows = [(id_of(i), f"u{i}", "".join(rng.choices("abc", k=500)), i, "x") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, shard int, hash string")
+    manifest = warc.write_archives(spark, pages, f"file://{tmp_path}/s", shard_bytes=20_000).collect()
+    shards = defaultdict(int)
+    for r in manifest:
+        shards[r["file"][:12]] += r["records"]
+    assert sum(shards.values()) == 400 and max(shards.values()) <= 40 and len(shards) >= 18
+    out = got(warc.read_archives(spark, f"file://{tmp_path}/s"), "id", "url", "payload_digest", "record_type")
+    assert out == sorted(((i, u, brute.digest(h.encode()), "response") for i, u, h, *_ in rows), key=str)
+    assert warc.read_archives(spark, f"file://{tmp_path}/s").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_warc_frequent_payloads(spark, tmp_path):
+    rows = [(i if i % 5 else None, "u", ["", "a", f"p{i}"][i % 3]) for i in range(90, 0, -1)]
+    warc.write_archives(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/f", least=1, shard_bytes=3000)
+    out = got(warc.read_archives(spark, f"file://{tmp_path}/f"), "id", "payload_bytes", "record_type", "refers_to")
+    rank = lambda i: -(1 << 63) if i is None else i
+    least = {h: min(rank(i) for i, _, g in rows if g == h) for _, _, h in rows}
+    want = [(i, len(h), "response" if not h or rank(i) == least[h] else "revisit", None if not h or rank(i) == least[h] or least[h] == rank(None) else least[h]) for i, _, h in rows]
+    assert out == sorted(want, key=str)
+
+
 def test_warc_empty_and_damaged(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write_archives(spark, pages, f"file://{tmp_path}/e").count() == 0 and warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0

@@ -1,7 +1,9 @@
 """Deterministic sharded WARC writer and reader (operator 8).
 
-Writing: records are range-sorted by id; ranges come from an exact histogram of
-bytes over ids, so equal input gives equal shards.  Each task writes its shard in
+Writing: records are range-sorted by id; ranges come from exact histograms of
+bytes over ids, whose heavy bins are divided again until each holds at most a shard
+or one id, so equal input gives equal shards, wherever its ids lie.  An id with more than a
+shard's bytes is spread over several shards by a hash of the payload.  Each task writes one shard in
 id order, one gzip member per record, and starts a new file when the compressed
 size passes ``roll``.  Headers and digests are made anew.  A file is written under a
 temporary name that holds the attempt and renamed when complete, so a task that runs
@@ -10,12 +12,14 @@ committed last, and readers go by the manifest alone.
 
 Of records with equal payloads the one with the smallest id is a response, others
 are revisits that refer to it.  This is decided on digests; payloads are shuffled
-once, with the decisions, by range.
+once, with the decisions, by range.  Digests of a thousandth of all rows or more are
+joined by broadcast (at most a thousand), so one frequent payload does not meet in one task.
 
 Defined cases: a null payload is empty; a null id orders before all others and
 is read back as null; rows equal in id and payload are all responses if none has
 a smaller id; a null url leaves out the target; control characters in a url are
-percent-encoded; an empty table gives an empty manifest.
+percent-encoded; very long payloads are records of their own size; other
+columns, whatever their names, are not carried; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -27,17 +31,19 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import materialize, scratch_dir, spread, table
 
 SHARD_BYTES = 16 << 20  #: payload bytes of a shard
 ROLL = 32 << 20  #: compressed bytes at which a file ends
-BINS = 4096  #: bins of the histogram that sets the ranges
+BINS = 4096  #: most bins of one range in one pass of the histogram
 LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 LEAST_ID = -(1 << 63)
@@ -62,8 +68,57 @@ def record(name: str, url: str | None, payload: bytes, refers: str | None, date:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _name(id_: int | None, nth: int = 0) -> str:
-    return f"urn:x-page:{'null' if id_ is None or id_ == LEAST_ID else id_}:{nth}"
+def _name(id_: int, digest_: str, nth: int = 0) -> str:
+    """The record of a payload's ``nth`` row with an id."""
+    return f"urn:x-page:{'null' if id_ == LEAST_ID else id_}:{digest_}:{nth}"
+
+
+def _divided(sizes: DataFrame, cells: list[tuple[int, int, int]]) -> dict[tuple[int, int], int]:
+    """Bytes by (number of cell, bin) of cells (first id, width, step of a bin); ``sizes`` has ``id`` and ``size``."""
+    start = np.array([c[0] for c in cells], np.int64)
+    width, step = (np.array([c[i] for c in cells], np.uint64) for i in (1, 2))
+
+    def run(batches):
+        for batch in batches:
+            ids, weights = batch.column("id").to_numpy(), batch.column("size").to_numpy()
+            cell = np.searchsorted(start, ids, side="right") - 1
+            far = ids.view(np.uint64) - start[cell].view(np.uint64)  # exact however far apart
+            inside = (cell >= 0) & (far < width[cell])
+            key, which = np.unique(cell[inside] * BINS + (far[inside] // step[cell[inside]]).astype(np.int64), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(which, weights[inside], len(key)).astype(np.int64))], ["key", "weight"])
+
+    rows = sizes.mapInArrow(run, "key long, weight long").groupBy("key").agg(F.sum("weight")).collect()  # bins that hold rows
+    return {divmod(key, BINS): weight for key, weight in rows}
+
+
+def shards(sizes: DataFrame, shard_bytes: int) -> list[tuple[int, int, int]]:
+    """(first id, number of the shard, shards that share the id) of ranges of at most about ``shard_bytes``, by id.
+
+    As many rows as there are shards, and some bins beside them, reach the driver.
+    """
+    low, high, total = sizes.filter(F.col("id") != LEAST_ID).agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    no_id = sizes.filter(F.col("id") == LEAST_ID).agg(F.sum("size")).first()[0]
+    done = [(LEAST_ID, 1, no_id)] if no_id else []
+    open_ = [(low, high - low + 1, total)] if total else []
+    while open_:
+        heavy = [c for c in open_ if c[2] > shard_bytes and c[1] > 1]
+        done += [c for c in open_ if c[2] <= shard_bytes or c[1] == 1]
+        cells = [(first, width, -(-width // min(BINS, max(64, -(-4 * weight // shard_bytes))))) for first, width, weight in heavy]
+        open_ = []
+        if cells:
+            for (i, n), weight in _divided(sizes, cells).items():
+                first, width, step = cells[i]
+                open_.append((first + n * step, min(step, width - n * step), weight))
+            open_.sort()
+    out, shard, filled = [], 0, 0
+    for first, _, weight in sorted(done):
+        parts = max(1, -(-weight // shard_bytes))
+        if out and (filled + weight > shard_bytes or parts > 1):
+            shard, filled = shard + out[-1][2], 0
+        if not out or not filled:
+            out.append((first, shard, parts))
+        filled += weight
+    return out
 
 
 class Files:
@@ -97,29 +152,30 @@ class Files:
         return self.final, self.records, self.size, self.sha.hexdigest(), self.first, self.last
 
 
-def write_archives(spark: SparkSession, df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, roll: int = ROLL, date: str = DATE) -> DataFrame:
+def write_archives(spark: SparkSession, df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, roll: int = ROLL, date: str = DATE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write a record per row into ``folder`` and return the committed manifest, one row per file."""
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    narrow = rows.select("id", F.octet_length("payload").cast("long").alias("size"), F.unhex(F.sha2("payload", 256)).alias("key"))
-    bounds = narrow.filter(F.col("id") != LEAST_ID).agg(F.min("id"), F.max("id")).first()
-    low, high = (bounds[0], bounds[1]) if bounds[0] is not None else (0, 0)
-    width = (high - low) // BINS + 1
-    bin_of = F.when(F.col("id") < low, 0).otherwise(F.floor((F.col("id") - low) / width)).cast("int")
-    sizes = dict(narrow.groupBy(bin_of.alias("bin")).agg(F.sum(F.col("size") + 512)).collect())  # at most BINS rows
-    shard_of, shard, filled = [], 0, 0
-    for b in range(BINS):
-        if filled and filled + sizes.get(b, 0) > SHARD_BYTES:
-            shard, filled = shard + 1, 0
-        filled += sizes.get(b, 0)
-        shard_of.append(str(shard))
-    known = F.split(F.lit(",".join(shard_of)), ",")
+    rows = rows.withColumn("hash", F.xxhash64("payload"))
+    narrow = materialize(spark, rows.select("id", (F.octet_length("payload") + 512).cast("long").alias("size"), F.unhex(F.sha2("payload", 256)).alias("key"), "hash"))
+    ranges = shards(narrow, shard_bytes)
+    edges = spark.sparkContext.broadcast(np.array(ranges, np.int64).reshape(-1, 3))  # a row per shard at most
+    n_shards = ranges[-1][1] + ranges[-1][2] if ranges else 1
+
+    @F.pandas_udf("int")
+    def shard_of(id_: pd.Series, hash_: pd.Series) -> pd.Series:
+        first, shard, parts = edges.value.T
+        at = np.searchsorted(first, id_.to_numpy(), side="right") - 1
+        return pd.Series((shard[at] + hash_.to_numpy() % parts[at]).astype(np.int32))
 
     # decisions, on digests: only rows that repeat an earlier payload are joined
-    first = narrow.filter(F.col("size") >= least).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("final")).filter("first <> final")
-    revisits = narrow.join(first, "key").filter(F.col("id") != F.col("first")).select("id", "key", "first").distinct()
-    pages = rows.select("id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"))
-    marks = revisits.select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("key").alias("payload"), "first")
-    dealt = pages.unionByName(marks).withColumn("shard", F.get(known, bin_of).cast("int")).repartition(shard + 1, "shard").sortWithinPartitions("shard", "id", "kind", "payload", "url")
+    keys = narrow.filter(F.col("size") >= least + 512).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("final"), F.count(F.lit(1)).alias("n")).filter("first <> final")
+    often = F.col("n") >= max(1, narrow.count() // 1000)
+    known = narrow.join(F.broadcast(keys.filter(often).select("key", "first")), "key", "left")  # at most a thousand rows
+    rare = known.filter("first is null").drop("first").join(keys.filter(~often).select("key", "first"), "key")
+    revisits = known.filter("first is not null").unionByName(rare).filter(F.col("id") != F.col("first")).select("id", "key", "first", "hash").distinct()
+    pages = rows.select("id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"), "hash")
+    marks = revisits.select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("key").alias("payload"), "first", "hash")
+    dealt = pages.unionByName(marks).withColumn("shard", shard_of("id", "hash")).drop("hash").repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "id", "kind", "payload", "url")
     target = folder.rstrip("/")
     store, path = fs.FileSystem.from_uri(target)
     store.create_dir(path, recursive=True)
@@ -127,17 +183,17 @@ def write_archives(spark: SparkSession, df: DataFrame, folder: str, id_col: str
     def run(batches):
         context = TaskContext.get()
         files = Files(target, roll, f"{context.partitionId()}-{context.taskAttemptId()}")
-        at, nth, earlier, done = None, 0, {}, []
+        at, last, nth, earlier, done = None, None, 0, {}, []
         for batch in batches:
             for id_, kind, url, payload, first, shard in zip(*(batch.column(c).to_pylist() for c in ("id", "kind", "url", "payload", "first", "shard")), strict=True):
                 if id_ != at:
-                    at, nth, earlier = id_, 0, {}
+                    at, last, earlier = id_, None, {}
                 if not kind:
                     earlier[payload] = first
                     continue
-                refers = earlier.get(hashlib.sha256(payload).digest()) if earlier else None
-                done += files.add(shard, id_, record(_name(id_, nth), url, payload, None if refers is None else _name(refers), date))
-                nth += 1
+                nth, last = (nth + 1, payload) if payload == last else (0, payload)
+                refers, named = earlier.get(hashlib.sha256(payload).digest()) if earlier else None, digest(payload)
+                done += files.add(shard, id_, record(_name(id_, named, nth), url, payload, None if refers is None else _name(refers, named), date))
         if files.out:
             done.append(files.close())
         columns = list(zip(*done, strict=True)) if done else [()] * 6
@@ -199,12 +255,14 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     raise ValueError(f"{name} holds {len(rows)} of {n} records")
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], list(kinds))
 
-    # a task per file: by number, or adaptive execution would put these few rows into one task
-    return manifest.select("file", "records").repartition(max(1, manifest.count()), "file").mapInArrow(run, READ)
+    # a task per shard
+    shard = F.regexp_extract("file", r"shard-(\d+)", 1).cast("int")
+    last = manifest.agg(F.max(shard)).first()[0] or 0
+    return manifest.select("file", "records", shard.alias("shard")).repartitionById(last + 1, F.col("shard")).mapInArrow(run, READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     folder = scratch_dir(spark)
     write_archives(spark, pages, folder)
     return read_archives(spark, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
