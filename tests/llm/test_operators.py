@@ -373,16 +373,47 @@ def test_packing_cases(spark, docs, empty, tokenizers_):
 @pytest.mark.parametrize("seed", range(3))
 def test_sum_of_squares(seed):
     rng = np.random.default_rng(seed)
-    lengths = np.concatenate([rng.integers(1, 1024, 4000), np.full(500, 1024)])
-    sequence, offset = packing.tightened(lengths, 1024)
+    lengths = -np.sort(-np.concatenate([rng.integers(1, 1024, 4000), np.full(500, 1024)]))
+    sequence, offset = packing.sum_of_squares(lengths, 1024)
     fill = np.bincount(sequence, weights=lengths)
-    assert fill.max() <= 1024 and len(np.unique(sequence)) <= 1.02 * lengths.sum() / 1024
+    assert fill.max() <= 1024 and len(np.unique(sequence)) <= 1.01 * lengths.sum() / 1024
     order = np.lexsort((offset, sequence))
     s, o, n = sequence[order], offset[order], lengths[order]
     same = s[1:] == s[:-1]
     assert ((o[:-1] + n[:-1])[same] == o[1:][same]).all() and (o[1:][~same] == 0).all()
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_each_piece_goes_where_the_sum_is_smallest(seed):
+    rng = random.Random(seed)
+    lengths = np.array([rng.randrange(1, 21) for _ in range(300)])
+    sequence, offset = packing.sum_of_squares(lengths, 20)
+    fill = {}
+    for x, at, o in zip(lengths.tolist(), sequence.tolist(), offset.tolist(), strict=True):
+        assert o == fill.get(at, 0)
+        def total(after):
+            gaps = defaultdict(int)
+            for f in after.values():
+                gaps[20 - f] += f < 20
+            return sum(c * c for c in gaps.values())
+        fits = {20 - f: total({**fill, s: f + x}) for s, f in fill.items() if x <= 20 - f and f < 20}
+        if fits:
+            assert at in fill and 20 - fill[at] == min(g for g in fits if fits[g] == min(fits.values()))
+        else:
+            assert at not in fill
+        fill[at] = o + x
+
+
+def test_packing_spreads_equal_rows(spark, tokenizers_, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 100)
+    rows = [(1, "one two three")] * 900 + [(None, None)] * 300
+    out = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), tokenizers_.path("byte_bpe_50k.json"), size=64).collect()
+    groups = defaultdict(int)
+    for r in out:
+        groups[r["sequence_id"] >> 32] += 1
+    assert len(out) == 1200 and len(groups) == 12 and max(groups.values()) <= 150
+
+
 # 7
 def test_quality_query(spark, corpus):
     rows = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.query(spark, SF).collect()}
