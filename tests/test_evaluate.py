@@ -100,6 +100,10 @@ def test_shadowed_variable(log):
     t = tree(Box(objects={"o1": ["order"]}, constraints=[size(num("A", 2))], children=[1]), Box(objects={"o1": ["item", "order"]}), _0_1="A")
     frames = evaluate(t, log)
     assert frames[1].count() == 6 and frames[0].filter("violated is null").count() == 2
+    t.nodes[0].constraints = [size(num("A", 3, 3))]
+    assert evaluate(t, log)[0].filter("violated is null").count() == 2
+    t.nodes[0].constraints, t.nodes[0].size_filters = [], [num("A", 3, 3)]
+    assert evaluate(t, log)[1].count() == 6
 
 
 def test_dropped_parents_take_their_descendants(log):

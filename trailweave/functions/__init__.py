@@ -1,0 +1 @@
+"""Functions of expressions in query trees."""

@@ -35,8 +35,8 @@ def related_counts(log: Log, ob_type: str) -> DataFrame:
     some = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id", "ref", "type").agg(F.count(F.lit(1)).alias("k"))
     # zeros are added as one row per (reference, type) with the number of objects that lack it
     total = ids.agg(F.count(F.lit(1)).alias("total"))
-    return some.withColumn("w", F.lit(1)).unionByName(
-        some.filter("ref <> 'EventReversed'").groupBy("ref", "type").agg(F.count(F.lit(1)).alias("with")).crossJoin(total).select(F.lit(None).cast("string").alias("id"), "ref", "type", F.lit(0).cast("long").alias("k"), (F.col("total") - F.col("with")).cast("int").alias("w")).filter("w > 0")
+    return some.withColumn("w", F.lit(1).cast("long")).unionByName(
+        some.filter("ref <> 'EventReversed'").groupBy("ref", "type").agg(F.count(F.lit(1)).alias("with")).crossJoin(total).select(F.lit(None).cast("string").alias("id"), "ref", "type", F.lit(0).cast("long").alias("k"), (F.col("total") - F.col("with")).alias("w")).filter("w > 0")
     )
 
 
@@ -116,16 +116,16 @@ def type_names(log: Log) -> list[str]:
     return sorted(r[0] for r in log.event.select("ev_type").distinct().collect())
 
 
-def delays(log: Log, ob_type: str, strict: bool = False) -> DataFrame:
+def delays(log: Log, ob_type: str, strict: bool = False, names: list[str] | None = None) -> DataFrame:
     """(ob_id, ev_id, source, target, delay): seconds from each event of an object to the next other event of each type.
 
     ``delay`` is null if there is none.  Events at the same time follow each other unless ``strict``.  One
-    sort per object; no pairs of events are formed.
+    sort per object, latest event first, with frames that only grow: linear in its events.
     """
     df = events_of(log, ob_type).withColumn("us", F.unix_micros(F.col("ev_time").cast("timestamp")))
-    base = W.partitionBy("ob_id").orderBy("us")
-    later, after, level = base.rangeBetween(1, W.unboundedFollowing), base.rangeBetween(0, W.unboundedFollowing), base.rangeBetween(0, 0)
-    names = type_names(log)
+    base = W.partitionBy("ob_id").orderBy(F.desc("us"))
+    later, after, level = base.rangeBetween(W.unboundedPreceding, -1), base.rangeBetween(W.unboundedPreceding, 0), base.rangeBetween(0, 0)
+    names = type_names(log) if names is None else names
     for i, t in enumerate(names):
         of = F.when(F.col("ev_type") == t, F.col("us"))
         following = F.min(of).over(later)

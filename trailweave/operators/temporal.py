@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..log import seconds_between
@@ -27,8 +28,13 @@ def range_join(left: DataFrame, right: DataFrame, left_time: str, right_time: st
 def latest_at(df: DataFrame, keys: list[str], versions: DataFrame, on: str, time: str, fields: Column) -> DataFrame:
     """``df``'s distinct (keys, on, time) with the version (on, ts, ordinal) in force at ``time`` as ``latest``.
 
-    Ties of ``ts`` go to the higher ordinal.  A row without a version is absent.
+    Ties of ``ts`` go to the higher ordinal.  A row without a version is absent.  Versions and
+    times of an object are sorted together, so no pairs are formed.
     """
-    wanted = df.select(*keys, on, time).distinct()
-    found = wanted.join(versions.withColumn("_fields", fields), on).filter(F.col("ts") <= F.col(time))
-    return found.groupBy(*dict.fromkeys([*keys, on, time])).agg(F.max_by("_fields", F.struct("ts", "ordinal")).alias("latest"))
+    names = [*dict.fromkeys([*keys, on, time])]
+    wanted = df.select(*names).distinct().filter(F.col(time).isNotNull())
+    rows = wanted.select(F.col(on).alias("_on"), F.col(time).alias("_at"), F.lit(None).cast("long").alias("_nth"), F.struct(*names).alias("_row"), F.lit(None).alias("_version"))
+    marks = versions.select(F.col(on).alias("_on"), F.col("ts").alias("_at"), F.col("ordinal").cast("long").alias("_nth"), F.lit(None).alias("_row"), F.struct(fields.alias("v")).alias("_version"))
+    order = W.partitionBy("_on").orderBy("_at", F.asc_nulls_last("_nth")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = marks.unionByName(rows).withColumn("_version", F.last("_version", ignorenulls=True).over(order))
+    return found.filter("_row is not null and _version is not null").select("_row.*", F.col("_version.v").alias("latest"))

@@ -12,6 +12,7 @@ are built.  Bindings that child-set filters drop take their descendants with the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -19,6 +20,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cel import Cel, Expressions, Frame, Rows, Value, declared_kinds, entities, kind_of, label_column
 from ..log import Log
 from ..operators.temporal import latest_at, range_join
 from .predicates import holds, relation, tested, variables
@@ -37,8 +39,8 @@ def scan(log: Log, var: str, types: list[str]) -> DataFrame:
     return log.object.filter(F.col("ob_type").isin(types)).select(F.col("ob_id").alias(var))
 
 
-def bind(log: Log, box: Box, df: DataFrame | None, bound: set[str]) -> DataFrame | None:
-    """The box's variables bound by joins along its relation filters, then its other filters."""
+def bind(log: Log, box: Box, df: DataFrame | None, bound: set[str], scope: dict[str, list[str]]) -> DataFrame | None:
+    """The box's variables bound by joins along its relation filters, then its other filters; ``scope`` has the types of all variables."""
     types = {**box.objects, **box.events}
     waiting = [v for v in types if v not in bound]
     filters = list(box.filters)
@@ -51,7 +53,7 @@ def bind(log: Log, box: Box, df: DataFrame | None, bound: set[str]) -> DataFrame
             if f["type"] in LINKS:
                 df = df.join(relation(log, f, {}).select(*_ends(f)).distinct(), list(_ends(f)), "left_semi")
             else:
-                df, p = tested(df, log, f, types)
+                df, p = tested(df, log, f, scope)
                 df = df.filter(holds(p))
         return df
 
@@ -92,7 +94,7 @@ def bind(log: Log, box: Box, df: DataFrame | None, bound: set[str]) -> DataFrame
         if not variables(f) <= done:
             raise ValueError(f"filter {f['type']} looks at variables that are not bound: {sorted(variables(f) - done)}")
         names = df.columns
-        df, p = tested(df, log, f, types)
+        df, p = tested(df, log, f, scope)
         df = df.filter(holds(p)).select(*names)
     return df
 
@@ -100,15 +102,15 @@ def bind(log: Log, box: Box, df: DataFrame | None, bound: set[str]) -> DataFrame
 def with_attributes(df: DataFrame, log: Log, box: Box) -> DataFrame:
     """Attribute columns that the box declares for its expressions.
 
-    Events have one value; of an object's versions the first counts, or the one in
-    force at the event named by ``at``.  Missing is null.
+    Of an event's values the smallest counts, of an object's versions the first, or the
+    one in force at the event named by ``at``.  Missing is null.
     """
     fields = {"string": "s", "integer": "i", "float": "f", "boolean": "b", "time": "t"}
     for a in box.attributes:
         var, name = a["var"], a.get("as", f"{a['var']}_{a['name']}")
         column = F.col("value")[fields[a["kind"]]]
         if var[0] == "e":
-            values = log.event_attr.filter(F.col("name") == a["name"]).groupBy(F.col("ev_id").alias(var)).agg(F.first(column).alias(name))
+            values = log.event_attr.filter(F.col("name") == a["name"]).groupBy(F.col("ev_id").alias(var)).agg(F.min(column).alias(name))
         else:
             values = log.object_attr.filter(F.col("name") == a["name"])
             if a.get("at"):
@@ -122,23 +124,26 @@ def with_attributes(df: DataFrame, log: Log, box: Box) -> DataFrame:
 
 @dataclass
 class Node:
+    at: int
     frame: DataFrame
     keys: list[str]  #: variables in scope, which identify a row
+    types: dict[str, list[str]]  #: of those variables
 
 
 class Evaluation:
     def __init__(self, tree: Tree, log: Log, keep: Callable[[DataFrame], DataFrame] | None = None):
         tree.validate()
         self.tree, self.log = tree, log
-        self.keep = keep or (lambda df: df)  #: called on bindings that several children read, e.g. ``DataFrame.persist``
+        #: called on bindings that several plans read; persisted bindings stay until ``catalog.clearCache``
+        self.keep = keep or (lambda df: df.persist())
         self.nodes: dict[int, Node] = {}
 
     def run(self) -> dict[int, DataFrame]:
         for root in self.tree.roots():
-            self.node(root, None, [])
+            self.node(root, None, [], {})
         return {i: n.frame for i, n in sorted(self.nodes.items())}
 
-    def node(self, at: int, parent: DataFrame | None, keys: list[str]) -> Node:
+    def node(self, at: int, parent: DataFrame | None, keys: list[str], types: dict[str, list[str]]) -> Node:
         box, log = self.tree.box(at), self.log
         # a variable that is bound again hides its parent's, which stays part of the key
         hidden = {v: f"{v}__{at}" for v in box.variables if v in keys}
@@ -148,26 +153,37 @@ class Evaluation:
                 if f"{v}_time" in parent.columns:
                     parent = parent.withColumnRenamed(f"{v}_time", f"{name}_time")
         above = [hidden.get(k, k) for k in keys]
-        df = bind(log, box, parent, set(above))
+        types = {**{hidden.get(k, k): t for k, t in types.items()}, **box.objects, **box.events}
+        df = bind(log, box, parent, set(above), types)
         if df is None:
             df = log.spark.range(1).select(F.lit(1).alias("_root"))
             above = ["_root"] if not above else above
         mine = [*above, *box.variables]
-        if box.children:
+        if len(box.children) > 1:
             df = self.keep(df)
         scope = [c for c in df.columns if c in mine or (c.endswith("_time") and c[:-5] in mine)]
-        children = {self.tree.name(at, c): self.node(c, df.select(*scope), mine) for c in box.children}
-        names = {self.tree.name(at, c): c for c in box.children}
+        children = {self.tree.name(at, c): self.node(c, df.select(*scope), mine, types) for c in box.children}
         plain = df.columns
-        df = self.summarised(df, box, mine, {n: (children[n], self.nodes[c]) for n, c in names.items()})
-        for label, sql in box.labels:
-            df = df.withColumn(label, F.expr(sql))
-        for f in box.size_filters:
-            df = df.filter(holds(self.size_test(f, children)))
-        df, violated = self.violations(df, box, children)
-        labels = [label for label, _ in box.labels]
+        expressions = self.expressions(at, box, mine, types, children)
+        labels: dict[str, tuple[Column, str | None]] = {}
+        for label, text in box.labels:
+            if isinstance(text, Cel):
+                labels[label] = label_column(expressions.compile(text))
+                expressions.names[label] = Value(labels[label][1], F.col(f"`{label}`"))
+            else:
+                labels[label] = (F.expr(text), None)
+        tests = {f["cel"]: expressions.predicate(f["cel"]) for f in _tests(box) if f.get("cel")}
+        df, left = self.semi_joined(df, box, mine, children)
+        df = self.summarised(df, box, mine, children, expressions)
+        if expressions:
+            df = expressions.joined(df)
+        for label, (column, _) in labels.items():
+            df = df.withColumn(label, column)
+        for f in left:
+            df = df.filter(holds(self.size_test(f, children, tests)))
+        df, violated = self.violations(df, box, children, types, tests)
         frame = df.withColumn("violated", violated).select(*dict.fromkeys([*plain, *labels]), "violated")
-        self.nodes[at] = Node(frame, mine)
+        self.nodes[at] = Node(at, frame, mine, types)
         if box.size_filters and box.children:
             self.prune(at, frame, mine)
         return self.nodes[at]
@@ -176,19 +192,50 @@ class Evaluation:
         """Descendants of dropped bindings go."""
         for c in self.tree.nodes[at].children:
             node = self.nodes[c]
-            names = [n if n in node.keys else f"{n}__{c}" for n in keys]
+            names = list(_hidden(keys, node).values())
             alive = frame.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
             node.frame = node.frame.join(alive, names, "left_semi").select(*node.frame.columns)
             self.prune(c, node.frame, node.keys)
 
-    def summarised(self, df: DataFrame, box: Box, keys: list[str], children: dict[str, tuple[Node, Node]]) -> DataFrame:
+    def expressions(self, at: int, box: Box, keys: list[str], types: dict[str, list[str]], children: dict[str, Node]) -> Expressions | None:
+        """What the box's CEL texts compile against: its variables, and its children's bindings as lists."""
+        if not any(isinstance(text, Cel) for _, text in box.labels) and not any(f.get("cel") for f in _tests(box)):
+            return None
+        visible = lambda names: [v for v in names if re.fullmatch(r"[eo]\d+", v)]
+        declared, rows = declared_kinds(self.log), {}
+        for n, child in children.items():
+            inner = Frame(self.log, declared, f"c{at}_{len(rows)}_")
+            own, above = _hidden(keys, child), visible(keys)
+            fields = {**entities(inner, {v: child.types[v] for v in visible(child.keys)}), "satisfied": Value("bool", F.col("violated").isNull())}
+            fields |= {x: Value(kind_of(child.frame.schema[x].dataType), F.col(f"`{x}`")) for x in _labels(child)}
+            rows[n] = Rows(child.frame, inner, entities(inner, {v: types[v] for v in above}, {v: own[v] for v in above}), Value("map", fields=fields))
+        frame = Frame(self.log, declared, f"n{at}_")
+        return Expressions(frame, entities(frame, {v: types[v] for v in visible(keys)}), rows)
+
+    def semi_joined(self, df: DataFrame, box: Box, keys: list[str], children: dict[str, Node]) -> tuple[DataFrame, list[dict[str, Any]]]:
+        """Filters that ask for some or for no child binding, as semi and anti joins; and the filters that are left."""
+        left = []
+        for f in box.size_filters:
+            how = {(1, None): "left_semi", (None, 0): "left_anti", (0, 0): "left_anti"}.get((f.get("min"), f.get("max"))) if f["type"] == "NumChilds" else None
+            if how is None or f["child_name"] not in children:
+                left.append(f)
+                continue
+            child = children[f["child_name"]]
+            df = df.join(child.frame.select(*[F.col(c).alias(k) for k, c in _hidden(keys, child).items()]), keys, how)
+        return df, left
+
+    def summarised(self, df: DataFrame, box: Box, keys: list[str], children: dict[str, Node], expressions: Expressions | None) -> DataFrame:
         """``df`` with the aggregates of its children's bindings that the box uses."""
-        texts = " ".join([sql for _, sql in box.labels] + [str(f.get("sql") or f.get("cel") or "") for f in _tests(box)])
-        for n, (child, _) in children.items():
-            c = child.frame
-            hidden = {k: (k if k in child.keys else next(x for x in child.keys if x.startswith(f"{k}__"))) for k in keys}
+        texts = " ".join([text for _, text in box.labels if not isinstance(text, Cel)] + [f["sql"] for f in _tests(box) if f.get("sql")])
+        used = {f.get("child_name") for f in _tests(box)} | {n for c in box.constraints for n in c.get("child_names", ())} | {n for f in _tests(box) for n in f.get("child_names", ())} | {n for f in _tests(box) for n, _ in f.get("child_name_with_var_name", ())}
+        for n, child in children.items():
+            c, hidden = child.frame, _hidden(keys, child)
+            if expressions and expressions.rows[n].aggregates:
+                df = df.join(expressions.rows[n].summary([F.col(hidden[k]).alias(k) for k in keys]), keys, "left")
+            if n not in used and n not in texts:
+                continue
             own = [k for k in child.keys if k not in hidden.values()]
-            labels = [x for x in c.columns if x not in child.keys and x != "violated" and not x.endswith("_time")]
+            labels = _labels(child)
             whole = F.struct(*[F.col(x).alias(x) for x in [*child.keys, *labels]])
             wanted: dict[str, Column] = {f"{n}#n": F.count(F.lit(1)), f"{n}#bad": F.count("violated")}
             for f in _tests(box):
@@ -212,7 +259,7 @@ class Evaluation:
                 df = df.withColumn(name, F.coalesce(F.col(f"`{name}`"), F.lit(0) if "array" not in kind.simpleString() else F.from_json(F.lit("[]"), kind)))
         return df
 
-    def size_test(self, f: dict[str, Any], children: dict[str, Node]) -> Column:
+    def size_test(self, f: dict[str, Any], children: dict[str, Node], tests: dict[str, Column]) -> Column:
         kind = f["type"]
         col = lambda name: F.col(f"`{name}`")
 
@@ -237,16 +284,15 @@ class Evaluation:
                 return F.lit(False)
             sets, alike = [col(f"{n}#set#{v}") for n, v in pairs], [True] * (len(pairs) - 1)
         else:
-            return F.expr(f.get("sql") or f["cel"])
+            return F.expr(f["sql"]) if f.get("sql") else tests[f["cel"]]
         p = F.lit(True)
         for s, same in zip(sets[1:], alike, strict=True):
             # sets over different variables are equal only if both are empty
             p = p & ((sets[0] == s) if same else (F.size(sets[0]) == 0) & (F.size(s) == 0))
         return p
 
-    def violations(self, df: DataFrame, box: Box, children: dict[str, Node]) -> tuple[DataFrame, Column]:
+    def violations(self, df: DataFrame, box: Box, children: dict[str, Node], types: dict[str, list[str]], tests: dict[str, Column]) -> tuple[DataFrame, Column]:
         """The index of the first constraint that fails."""
-        types = {**box.objects, **box.events}
         checks = []
         for i, c in enumerate(box.constraints):
             kind = c["type"]
@@ -254,7 +300,7 @@ class Evaluation:
                 df, p = tested(df, self.log, c["filter"], types)
                 ok = holds(p)
             elif kind == "SizeFilter":
-                ok = holds(self.size_test(c["filter"], children))
+                ok = holds(self.size_test(c["filter"], children, tests))
             else:
                 ok = self.quantified(kind, c["child_names"], children)
             checks.append(F.when(~ok, i))
@@ -276,6 +322,15 @@ def keys_in(df: DataFrame, keys: list[str]) -> list[str]:
     return [k for k in keys if k in df.columns]
 
 
+def _hidden(keys: list[str], child: Node) -> dict[str, str]:
+    """The names under which a child's frame has its parent's variables."""
+    return {k: f"{k}__{child.at}" if f"{k}__{child.at}" in child.keys else k for k in keys}
+
+
+def _labels(node: Node) -> list[str]:
+    return [x for x in node.frame.columns if x not in node.keys and x != "violated" and not x.endswith("_time")]
+
+
 def _tests(box: Box) -> list[dict[str, Any]]:
     """Child-set tests of a box, in filters and constraints."""
     return [*box.size_filters, *(c["filter"] for c in box.constraints if c["type"] == "SizeFilter")]

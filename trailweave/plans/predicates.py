@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cel import Expressions, Frame, declared_kinds, entities
 from ..log import Log, number, seconds_between
 from ..operators.temporal import latest_at
 
@@ -112,5 +114,10 @@ def tested(df: DataFrame, log: Log, f: dict[str, Any], types: dict[str, list[str
         latest = latest_at(df, [event], versions.withColumnRenamed("ob_id", var), var, f"{event}_time", F.col("value"))
         return flagged(latest.filter(value_test(F.col("latest"), test)), [var, event])
     if kind in ("Expr", "BasicFilterCEL", "AdvancedCEL"):
-        return df, F.expr(f.get("sql") or f["cel"])
+        if f.get("sql"):
+            return df, F.expr(f["sql"])
+        frame = Frame(log, declared_kinds(log), f"f{len(df.columns)}_")
+        expressions = Expressions(frame, entities(frame, {c: types.get(c) for c in df.columns if re.fullmatch(r"[eo]\d+", c)}))
+        p = expressions.predicate(f["cel"])
+        return expressions.joined(df), p
     raise ValueError(f"unknown filter {kind}")

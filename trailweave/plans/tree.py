@@ -2,8 +2,8 @@
 
 A tree is a list of nodes; a node is a ``Box`` with children, or a gate
 (``Gate``) over children.  ``edges`` names the edge from a parent to a child.
-``from_json`` and ``to_json`` keep the interchange format of such trees.
-Expressions are Spark SQL text over the columns in scope.
+``from_json`` reads the interchange format of such trees.  Expressions are CEL (``Cel``, or
+``cel`` in a filter) or Spark SQL text over the columns in scope (``sql``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
+from ..functions.cel import Cel
+
 
 @dataclass
 class Box:
@@ -116,7 +118,7 @@ def from_json(text: str | dict[str, Any]) -> Tree:
                 filters=[_filter_in(f) for f in box.get("filters", [])],
                 size_filters=[_filter_in(f) for f in box.get("sizeFilters", [])],
                 constraints=[_filter_in(c) for c in box.get("constraints", [])],
-                labels=[(x["label"], x.get("cel", x.get("sql"))) for x in box.get("labels", [])],
+                labels=[(x["label"], Cel(x["cel"]) if "cel" in x else x["sql"]) for x in box.get("labels", [])],
                 attributes=box.get("attributes", []),
                 marks={f"{p}{int(n) + 1}": m for p, key in (("e", "evVarLabels"), ("o", "obVarLabels")) for n, m in box.get(key, {}).items() if m != "IGNORED"},
                 children=list(children),

@@ -200,17 +200,6 @@ register(
 )
 
 
-def corpus_q6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest time from placing an order to a shipment: an empty root over all pairs, so the maximum is taken of the child frame."""
-    t = tree(Box(objects=ORDER, events={**PLACE, **SHIP}, filters=[o2e("o1", "e1"), o2e("o1", "e2")]))
-    pairs = evaluate(t, load(spark, sf_dir))[0]
-    return pairs.agg(F.max(F.unix_micros(F.col("e2_time").cast("timestamp")) - F.unix_micros(F.col("e1_time").cast("timestamp"))).alias("longest_us"))
-
-
-QUERIES["corpus_q6"] = corpus_q6
-SQL["corpus_q6"] = sql("SELECT max(epoch_us(t2) - epoch_us(t1)) AS longest_us FROM op JOIN os USING (o1)", f"{ORDERS_PLACED}, {SHIPS}")
-
-
 def forest_two_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(evaluate(tree(Box(objects={"o1": ["nation"]}), Box(events=PURCHASE, constraints=[check(ev_attr("e1", "k", type="Integer", max=50))])), load(spark, sf_dir)))
 
