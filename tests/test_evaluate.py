@@ -235,3 +235,41 @@ def test_gate_equals_constraint(log):
     assert evaluate(t, log)[0].filter(F.col("violated").isNotNull()).count() == 0
     t.nodes[1] = Gate("AND", [2, 3])
     assert rows(evaluate(t, log)[0].filter("violated is not null"), "o1") == [("o1",)]
+
+
+def test_hub_objects_are_linear(spark):
+    """One object of many events: windows that only grow, not a frame per event."""
+    import time
+
+    from trailweave.log import Log
+    from trailweave.operators import declare, discovery
+
+    n = 60_000
+    e2o = spark.range(n).select(F.concat(F.lit("e"), F.col("id")).alias("ev_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("ev_type"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ev_time"), F.lit("hub").alias("ob_id"), F.lit("x").alias("ob_type"), F.lit("q").alias("qualifier"))
+    event = e2o.select("ev_id", "ev_type", "ev_time")
+    log = Log(event, None, None, None, e2o, None, None)
+    start = time.perf_counter()
+    assert discovery.delays(log, "x").filter("delay is null").count() == 4  # to the other type and to their own, near the end
+    assert declare.violation(log, declare.Arc("a", "b", each=("x",))).first()["violated"] == 0
+    assert time.perf_counter() - start < 60
+
+
+def test_results_have_a_version(log):
+    from trailweave.plans.evaluate import label_bindings, profile, results
+
+    t = tree(Box(objects={"o1": ["order"]}, events={"e1": ["ship"]}, filters=[o2e("o1", "e1")], constraints=[check(gap("e1", "e1", 1.0))]))
+    old, new = results(t, log), results(t, log)
+    assert new.page(new.version, 0, 0, 10).count() == 2 and {r["version"] for r in new.summary().collect()} == {new.version}
+    with pytest.raises(ValueError):
+        new.page(old.version, 0, 0, 10)
+    assert [tuple(r) for r in label_bindings(t, log, ["o1"]).collect()] == [("o1", False)]
+    assert [r["rows"] for r in profile(t, log).orderBy("step").collect()] == [2, 2]
+
+
+def test_auto_discovery(log):
+    from trailweave.operators.discovery import auto_discover, covering_ranges
+
+    found = auto_discover(log, ["order"], 0.5)
+    assert len({name for name, _ in found}) == len(found) and any(name.startswith("=") for name, _ in found)
+    assert all(evaluate(t, log)[0].count() >= 0 for _, t in found[:3])
+    assert covering_ranges({0: 1, 1: 5, 2: 5, 9: 1}, 0.8) == [(0, 2)] and covering_ranges({3: 4}, 1.0) == [(3, 3)]

@@ -7,7 +7,9 @@ the driver; instances never do.  No sampling: every instance counts.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -74,20 +76,23 @@ class CountConstraint:
 
 
 def covering_ranges(histogram: dict[int, int], coverage: float) -> list[tuple[int, int]]:
-    """Ranges that hold the wanted share of the values: around the mean, from zero up, and from far above down; none that contains another."""
-    n = sum(histogram.values())
-    mean = sum(k * m for k, m in histogram.items()) / n
-    sigma = math.sqrt(sum(m * (k - mean) ** 2 for k, m in histogram.items()) / n)
-    step, need, middle = max(1, round(0.01 * sigma)), math.ceil(n * coverage - 1e-9), math.floor(mean)
-    found = set()
-    for start, down, up in ((middle, True, True), (0, False, True), (10 + 10 * middle, True, False)):
-        low = high = start
-        for _ in range(MOST_STEPS):
-            if sum(m for k, m in histogram.items() if low <= k <= high) >= need:
-                found.add((low, high))
-                break
-            low, high = max(0, low - step) if down else low, high + step if up else high
-    return sorted(r for r in found if not any(o != r and o[0] >= r[0] and o[1] <= r[1] for o in found))
+    """Ranges that hold the wanted share of the values: around the mean, from zero up, and from far above down; none that contains another.
+
+    A range grows by a hundredth of the deviation (at least 1) at an end that may move; how often
+    follows from cumulative counts by bisection.
+    """
+    keys = sorted(histogram)
+    upto = [0, *accumulate(histogram[k] for k in keys)]
+    total, mean = upto[-1], sum(k * n for k, n in histogram.items()) / upto[-1]
+    step = max(1, round(0.01 * math.sqrt(sum(n * (k - mean) ** 2 for k, n in histogram.items()) / total)))
+    inside = lambda r: upto[bisect_right(keys, r[1])] - upto[bisect_left(keys, r[0])]
+    middle, found = math.floor(mean), []
+    for start, down, up in ((middle, step, step), (0, 0, step), (10 + 10 * middle, step, 0)):
+        grown = lambda n: (max(0, start - n * down), start + n * up)  # noqa: B023, E731
+        n = bisect_left(range(MOST_STEPS), math.ceil(total * coverage - 1e-9), key=lambda n: inside(grown(n)))  # noqa: B023
+        if n < MOST_STEPS:
+            found.append(grown(n))
+    return sorted({a for a in found if not any(b != a and a[0] <= b[0] and b[1] <= a[1] for b in found)})
 
 
 def count_histograms(log: Log, ob_type: str) -> dict[tuple[str, str], dict[int, int]]:
@@ -202,3 +207,17 @@ def discover_either(log: Log, ob_type: str, coverage: float, lift: float = 1.1)
         if i != j and max(a, b) < coverage <= both and both >= lift * (1 - (1 - a) * (1 - b)):
             out.append((f"{candidates[i].name} OR {candidates[j].name}", either(candidates[i].tree(), candidates[j].tree(), {"o1": [ob_type]})))
     return out
+
+
+def auto_discover(log: Log, ob_types: list[str], coverage: float = 0.9, counts: bool = True, follows: bool = True, alternatives: bool = True) -> list[tuple[str, Tree]]:
+    """Named trees of every kind of constraint for each object type; as many as there are pairs of types."""
+    found: list[tuple[str, Tree]] = []
+    for t in ob_types:
+        if follows:
+            for r in discover_follows(log, t, coverage).orderBy("source", "target").collect():  # pairs of types
+                found.append((f"'{r['target']}' after '{r['source']}' per '{t}'", follows_tree(t, r["source"], r["target"], r["low"], r["high"])))
+        if counts:
+            found += [(c.name, c.tree()) for c in discover_counts(log, t, coverage)]
+        if alternatives:
+            found += discover_either(log, t, coverage)
+    return found

@@ -25,7 +25,7 @@ def binding_table(frame: DataFrame, log: Log, attributes: dict[str, list[str]] |
             if var[0] == "o":
                 cell = log.object_attr.filter(F.col("name") == name).groupBy(F.col("ob_id").alias(var)).agg(F.min_by(text_of(), F.struct("ts", "ordinal")).alias(column))
             else:
-                cell = log.event_attr.filter(F.col("name") == name).groupBy(F.col("ev_id").alias(var)).agg(F.first(text_of()).alias(column))
+                cell = log.event_attr.filter(F.col("name") == name).groupBy(F.col("ev_id").alias(var)).agg(F.min(text_of()).alias(column))
             out = out.join(cell, var, "left")
             columns.append(F.col(f"`{column}`"))
     for label in labels or []:

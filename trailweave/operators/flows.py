@@ -29,6 +29,14 @@ def directly_follows(log: Log, ob_type: str | None = None) -> DataFrame:
     return pairs.filter(F.col("target").isNotNull()).groupBy("ob_type", "source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+def case_directly_follows(cases: DataFrame) -> DataFrame:
+    """(source, target, n) of a case-centric log (case_id, activity, ts, and ``pos`` or ``ev_id`` to break ties)."""
+    tie = "pos" if "pos" in cases.columns else "ev_id"
+    order = W.partitionBy("case_id").orderBy("ts", tie)
+    pairs = cases.select(F.col("activity").alias("source"), F.lead("activity").over(order).alias("target"))
+    return pairs.filter("target is not null").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
 def start_end(log: Log) -> DataFrame:
     """(ob_type, ev_type, starts, ends): objects whose first or last event is of the activity."""
     key = F.struct("ev_time", "ev_id")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..log import Log, seconds_between
 from ..plans.tree import Box, Tree
+from .statistics import histogram
 
 
 @dataclass(frozen=True)
@@ -130,17 +131,89 @@ def same_connections(first: DataFrame, second: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def discover_schemas(log: Log, source: str, target: str | None, longest: int, most: int = 50, temporal: str = "None", within: float = 0.0) -> DataFrame:
-    """(schema, metrics…) of every schema, those that connect something first, then by selectivity and support."""
+def equivalence_classes(log: Log, schemas: list[tuple[Hop, ...]], event_types: set[str] | None = None) -> DataFrame:
+    """(nth, class, pairs): schemas that connect the same pairs share the number of the first; told by two sums of hashes and the number of pairs."""
+    events = _events(log) if event_types is None else event_types
+    out = None
+    for i, path in enumerate(schemas):
+        row = fingerprint(connections(log, path, event_types=events)).select(F.lit(i).alias("nth"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("class", F.min("nth").over(W.partitionBy("pairs", "h1", "h2"))).select("nth", "class", "pairs")  # a row per schema
+
+
+def schema_name(path: tuple[Hop, ...]) -> str:
+    return path[0].source + "".join(f" -{'<' if h.reverse else '>'}{h.qualifier}- {h.target}" for h in path)
+
+
+def discover_schemas(log: Log, source: str, target: str | None, longest: int, most: int = 50, temporal: str = "None", within: float = 0.0, selectivity: float | None = None, most_connections: int | None = None) -> DataFrame:
+    """(schema, metrics…, ended_early) of every schema, those that connect something first, then by selectivity and support.
+
+    Schemas under a ``selectivity`` are left out; ``ended_early`` marks those with over ``most_connections``
+    pairs, whose metrics still cover all.
+    """
     events = _events(log)
     out = None
     for i, path in enumerate(enumerate_schemas([tuple(r) for r in type_graph(log).collect()], source, target, longest)):  # types are few
-        name = path[0].source + "".join(f" -{'<' if h.reverse else '>'}{h.qualifier}- {h.target}" for h in path)
-        row = metrics(log, path, connections(log, path, temporal, within, events), events).select(F.lit(i).alias("nth"), F.lit(name).alias("schema"), "*")
+        row = metrics(log, path, connections(log, path, temporal, within, events), events).select(F.lit(i).alias("nth"), F.lit(schema_name(path)).alias("schema"), "*")
         out = row if out is None else out.unionByName(row)
+    if selectivity is not None:
+        out = out.filter(F.col("selectivity") >= selectivity)
+    out = out.withColumn("ended_early", F.col("support") > most_connections if most_connections is not None else F.lit(False))
     return out.orderBy(F.desc(F.col("support") > 0), F.desc("selectivity"), F.desc("support"), "nth").limit(most)
 
 
+def schema_detail(log: Log, path: tuple[Hop, ...], temporal: str = "None", within: float = 0.0, bins: int = 20) -> dict[str, DataFrame]:
+    """One schema's ``metrics``, ``throughput``, ``durations`` (bins of seconds), ``targets_per_source`` and ``sources_per_target`` (k, n; zeros included) and ``connections``."""
+    events = _events(log)
+    pairs = connections(log, path, temporal, within, events)
+
+    def per(end: str, other: str, kind: str) -> DataFrame:
+        every = log.event.filter(F.col("ev_type") == kind).select(F.col("ev_id").alias(end)) if kind in events else log.object.filter(F.col("ob_type") == kind).select(F.col("ob_id").alias(end))
+        counted = pairs.groupBy(end).agg(F.count_distinct(other).alias("k"))
+        return every.join(counted, end, "left").groupBy(F.coalesce("k", F.lit(0)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+    return {
+        "metrics": metrics(log, path, pairs, events), "throughput": throughput(pairs), "durations": histogram(pairs.select(seconds_between("source_time", "target_time").alias("v")), "v", bins),
+        "targets_per_source": per("source", "target", path[0].source), "sources_per_target": per("target", "source", path[-1].target), "connections": pairs,
+    }
+
+
+def combined_tree(schemas: list[tuple[Hop, ...]], event_types: set[str], within: float | None = None) -> Tree:
+    """One query that all schemas hold for: their source and target are shared, and so are the variables of equal beginnings."""
+    names: dict[tuple, str] = {}
+    box, n = Box(), {"e": 0, "o": 0}
+
+    def variable(key: tuple, t: str) -> str:
+        if key not in names:
+            kind = "e" if t in event_types else "o"
+            n[kind] += 1
+            names[key] = f"{kind}{n[kind]}"
+            (box.events if kind == "e" else box.objects)[names[key]] = [t]
+        return names[key]
+
+    def add(f: dict) -> None:
+        if f not in box.filters:
+            box.filters.append(f)
+
+    for path in schemas:
+        at, last = variable((), path[0].source), None
+        last = at if at[0] == "e" else None
+        for i, h in enumerate(path, 1):
+            key = ("target", h.target) if i == len(path) else path[:i]
+            to = variable(key, h.target)
+            a, b = (to, at) if h.reverse else (at, to)
+            if h.kind == "e2o":
+                add({"type": "O2E", "object": b, "event": a, "qualifier": h.qualifier})
+            else:
+                add({"type": "O2O", "object": a, "other_object": b, "qualifier": h.qualifier})
+            if to[0] == "e":
+                if last:
+                    add({"type": "TimeBetweenEvents", "from_event": last, "to_event": to, "min_seconds": 0.0, "max_seconds": within})
+                last = to
+            at = to
+    return Tree([box])
+
+
 def to_tree(path: tuple[Hop, ...], event_types: set[str], within: float | None = None) -> Tree:
     """A query with a variable per type on the path, its relations as filters, and events in order."""
     names, n = {}, {"e": 0, "o": 0}

@@ -98,6 +98,12 @@ def time_stats(log: Log, type_name: str) -> DataFrame:
     return log.event.filter(F.col("ev_type") == type_name).agg(F.min("ev_time").alias("first"), F.max("ev_time").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
+def time_histogram(log: Log, type_name: str, attr: str | None = None, bins: int = BINS) -> DataFrame:
+    """(bin, low, high, n) in milliseconds, of a type's event times or of a time attribute."""
+    times = log.event.filter(F.col("ev_type") == type_name).select(F.col("ev_time").alias("t")) if attr is None else attribute_values(log, "event", type_name, attr).select(F.col("value.t").alias("t"))
+    return histogram(times.select((F.unix_micros(F.col("t").cast("timestamp")) / 1000).alias("v")), "v", bins)
+
+
 def sample_ids(log: Log, scope: str, type_name: str, limit: int = 1000) -> DataFrame:
     frame, key, kind = (log.event, "ev_id", "ev_type") if scope == "event" else (log.object, "ob_id", "ob_type")
     return frame.filter(F.col(kind) == type_name).select(F.col(key).alias("id")).orderBy("id").limit(min(limit, 1000))
@@ -124,20 +130,47 @@ def symmetric_relations(log: Log) -> DataFrame:
     return forward.unionByName(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "qualifier", F.lit(True).alias("reversed")))
 
 
+def _reached(log: Log, root: str, max_distance: int, threshold: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, distance) within a number of relations of the root, and the relations (src, dst, qualifier, reversed) passed in each step."""
+    edges = symmetric_relations(log)
+    known = log.event.select(F.col("ev_id").alias("id")).unionByName(log.object.select(F.col("ob_id").alias("id")))
+    seen = frontier = known.filter(F.col("id") == root).select("id", F.lit(0).alias("distance"))
+    passed = []
+    for step in range(1, max_distance + 1):
+        here = edges.join(frontier.select(F.col("id").alias("src")), "src").persist()
+        if step > 1:  # degrees of the frontier alone
+            degree = here.select("src", "dst").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+            here = here.join(degree.filter(F.col("degree") < threshold), "src", "left_semi")
+        passed.append(here)
+        frontier = here.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(step).alias("distance")).persist()
+        seen = seen.unionByName(frontier)
+    return seen, passed
+
+
 def neighbourhood(log: Log, root: str, max_distance: int, threshold: int = 1000) -> DataFrame:
     """(id, distance) within a number of relations of the root, breadth first.
 
-    Nodes with ``threshold`` or more relations are reached but not passed, except
-    the root.  No row if the root is not in the log.  ``max_distance`` bounds the joins.
+    Nodes with ``threshold`` or more neighbours are reached but not passed, except
+    the root.  No row if the root is not in the log.  ``max_distance`` bounds the joins; each step is kept.
     """
-    edges = symmetric_relations(log).select("src", "dst").distinct()
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    known = log.event.select(F.col("ev_id").alias("id")).unionByName(log.object.select(F.col("ob_id").alias("id")))
-    seen = known.filter(F.col("id") == root).select("id", F.lit(0).alias("distance"))
-    frontier = seen
-    for step in range(1, max_distance + 1):
-        open_ = frontier if step == 1 else frontier.join(degree.filter(F.col("degree") < threshold), frontier["id"] == degree["src"], "left_semi")
-        reached = open_.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct()
-        frontier = reached.join(seen, "id", "left_anti").select("id", F.lit(step).alias("distance"))
-        seen = seen.unionByName(frontier)
-    return seen
+    return _reached(log, root, max_distance, threshold)[0]
+
+
+def neighbourhood_arcs(log: Log, root: str, max_distance: int, threshold: int = 1000, spanning_tree: bool = False) -> DataFrame:
+    """(src, dst, qualifier, reversed): relations passed from the root outwards, each in the direction it is passed first.
+
+    A relation between two nodes that are both passed is listed once, from the nearer one (or the one of
+    smaller id).  A spanning tree has one arc to each node but the root: that of smallest source, qualifier and direction.
+    """
+    seen, passed = _reached(log, root, max_distance, threshold)
+    arcs = None
+    for step, here in enumerate(passed, 1):
+        mine = here.select("src", "dst", "qualifier", "reversed", F.lit(step).alias("step"))
+        arcs = mine if arcs is None else arcs.unionByName(mine)
+    if arcs is None:
+        return seen.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("").alias("qualifier"), F.lit(False).alias("reversed")).limit(0)
+    if spanning_tree:
+        first = seen.filter("distance > 0").select(F.col("id").alias("dst"), F.col("distance").alias("step"))
+        return arcs.join(first, ["dst", "step"]).groupBy("dst").agg(F.min(F.struct("src", "qualifier", "reversed")).alias("a")).select("a.src", "dst", "a.qualifier", "a.reversed")
+    ends = [F.when(F.col("reversed"), F.col("dst")).otherwise(F.col("src")), F.when(F.col("reversed"), F.col("src")).otherwise(F.col("dst"))]
+    return arcs.groupBy(ends[0].alias("_a"), ends[1].alias("_b"), "qualifier").agg(F.min(F.struct("step", "src", "dst", "reversed")).alias("a")).select("a.src", "a.dst", "qualifier", "a.reversed")

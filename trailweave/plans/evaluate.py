@@ -13,6 +13,7 @@ are built.  Bindings that child-set filters drop take their descendants with the
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -39,7 +40,7 @@ def scan(log: Log, var: str, types: list[str]) -> DataFrame:
     return log.object.filter(F.col("ob_type").isin(types)).select(F.col("ob_id").alias(var))
 
 
-def bind(log: Log, box: Box, df: DataFrame | None, bound: set[str], scope: dict[str, list[str]]) -> DataFrame | None:
+def bind(log: Log, box: Box, df: DataFrame | None, bound: set[str], scope: dict[str, list[str]], watch: Callable[[str, DataFrame], None] | None = None) -> DataFrame | None:
     """The box's variables bound by joins along its relation filters, then its other filters; ``scope`` has the types of all variables."""
     types = {**box.objects, **box.events}
     waiting = [v for v in types if v not in bound]
@@ -88,6 +89,8 @@ def bind(log: Log, box: Box, df: DataFrame | None, bound: set[str], scope: dict[
         waiting.remove(var)
         done.add(var)
         df = apply(df, done)
+        if watch:
+            watch(var, df)
     if df is not None:
         df = with_attributes(df, log, box)
     for f in filters:
@@ -137,6 +140,7 @@ class Evaluation:
         #: called on bindings that several plans read; persisted bindings stay until ``catalog.clearCache``
         self.keep = keep or (lambda df: df.persist())
         self.nodes: dict[int, Node] = {}
+        self.steps: list[tuple[int, str, DataFrame]] = []  #: node, variable, bindings after it is bound
 
     def run(self) -> dict[int, DataFrame]:
         for root in self.tree.roots():
@@ -154,7 +158,7 @@ class Evaluation:
                     parent = parent.withColumnRenamed(f"{v}_time", f"{name}_time")
         above = [hidden.get(k, k) for k in keys]
         types = {**{hidden.get(k, k): t for k, t in types.items()}, **box.objects, **box.events}
-        df = bind(log, box, parent, set(above), types)
+        df = bind(log, box, parent, set(above), types, lambda var, df: self.steps.append((at, var, df)))
         if df is None:
             df = log.spark.range(1).select(F.lit(1).alias("_root"))
             above = ["_root"] if not above else above
@@ -358,4 +362,41 @@ def page(frame: DataFrame, offset: int, limit: int, violated: bool | None = None
     return frame.orderBy(*[c for c in frame.columns if c != "violated"]).offset(offset).limit(limit)
 
 
-__all__ = ["Evaluation", "evaluate", "page", "summary"]
+def profile(tree: Tree, log: Log) -> DataFrame:
+    """(node, step, variable, rows): bindings after each variable of each box is bound."""
+    evaluation, out, last = Evaluation(tree, log), None, {}
+    evaluation.run()
+    for node, var, df in evaluation.steps:
+        last[node] = last.get(node, 0) + 1
+        row = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(node).alias("node"), F.lit(last[node]).alias("step"), F.lit(var).alias("variable"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def label_bindings(tree: Tree, log: Log, by: list[str], root: int = 0) -> DataFrame:
+    """(by…, satisfied): whether no binding of the root under the same values of ``by`` is violated."""
+    return evaluate(tree, log)[root].groupBy(*by).agg(F.bool_and(F.col("violated").isNull()).alias("satisfied"))
+
+
+@dataclass
+class Results:
+    """Frames of one evaluation under a version, so that a page of an older one is refused."""
+
+    frames: dict[int, DataFrame]
+    version: str
+
+    def summary(self) -> DataFrame:
+        """(node, situations, violated, skipped, version); nothing is ever skipped."""
+        return summary(self.frames).select("*", F.lit(False).alias("skipped"), F.lit(self.version).alias("version"))
+
+    def page(self, version: str, node: int, offset: int, limit: int, violated: bool | None = None) -> DataFrame:
+        if version != self.version:
+            raise ValueError("the results have changed since")
+        return page(self.frames[node], offset, limit, violated)
+
+
+def results(tree: Tree, log: Log) -> Results:
+    return Results(evaluate(tree, log), uuid.uuid4().hex)
+
+
+__all__ = ["Evaluation", "Results", "evaluate", "label_bindings", "page", "profile", "results", "summary"]

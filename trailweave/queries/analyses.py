@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from ..log import value
 from ..operators import flows, statistics
+from ..plans.evaluate import evaluate
+from ..plans.tree import Box, Tree
 from ..sources.tables import load
 from .base import sql
 
@@ -52,10 +57,35 @@ register(
     "SELECT id, min(d) AS distance FROM (SELECT 'c-1' AS id, 0 AS d UNION ALL SELECT dst, 1 FROM r WHERE src = 'c-1' UNION ALL SELECT b.dst, 2 FROM r a JOIN r b ON a.dst = b.src JOIN (SELECT src FROM r GROUP BY src HAVING count(*) < 1000) k ON k.src = b.src WHERE a.src = 'c-1') GROUP BY id",
     "f AS (SELECT ev_id AS src, ob_id AS dst FROM e2o UNION SELECT src_id, dst_id FROM o2o), r AS (SELECT src, dst FROM f UNION SELECT dst, src FROM f)",
 )
+RELATIONS = "f AS (SELECT ev_id AS src, ob_id AS dst, qualifier FROM e2o UNION ALL SELECT src_id, dst_id, qualifier FROM o2o), r AS (SELECT *, false AS reversed FROM f UNION ALL SELECT dst, src, qualifier, true FROM f), n1 AS (SELECT DISTINCT dst FROM r WHERE src = 'c-1' AND dst <> 'c-1'), p AS (SELECT *, 1 AS step FROM r WHERE src = 'c-1' UNION ALL SELECT r.*, 2 FROM r JOIN n1 ON r.src = n1.dst WHERE r.src IN (SELECT src FROM (SELECT DISTINCT src, dst FROM r) GROUP BY src HAVING count(*) < 1000))"
+register(
+    "neighbourhood_arcs", lambda log: statistics.neighbourhood_arcs(log, "c-1", 2),
+    "SELECT src, dst, qualifier, reversed FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN reversed THEN dst ELSE src END, CASE WHEN reversed THEN src ELSE dst END, qualifier ORDER BY step, src, dst, reversed) AS nth FROM p) WHERE nth = 1", RELATIONS,
+)
+register(
+    "neighbourhood_tree", lambda log: statistics.neighbourhood_arcs(log, "c-1", 2, spanning_tree=True),
+    "SELECT src, dst, qualifier, reversed FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src, qualifier, reversed) AS nth FROM p WHERE dst <> 'c-1' AND (step = 1 OR dst NOT IN (SELECT dst FROM n1))) WHERE nth = 1", RELATIONS,
+)
+register(
+    "attr_histogram_time", lambda log: statistics.time_histogram(log, "purchase").select("bin", "n"),
+    "SELECT CAST(least(floor((v - lo) / ((hi - lo) / 20.0)), 19) AS INTEGER) AS bin, count(*) AS n FROM (SELECT epoch_us(ev_time) / 1000 AS v FROM event WHERE ev_type = 'purchase'), (SELECT min(epoch_us(ev_time)) / 1000 AS lo, max(epoch_us(ev_time)) / 1000 AS hi FROM event WHERE ev_type = 'purchase') GROUP BY 1",
+)
+
+
+def with_flags(log):
+    """The log with a yes-or-no attribute of placings: whether the order is urgent."""
+    urgent = log.event_attr.filter("name = 'priority'").select("ev_id", F.lit("urgent").alias("name"), value(F.col("value.s").startswith("1"), "boolean").alias("value"))
+    return replace(log, event_attr=log.event_attr.unionByName(urgent))
+
+
+register("attr_stats_boolean", lambda log: statistics.boolean_stats(with_flags(log), "event", "place order", "urgent"), "SELECT count(*) FILTER (v LIKE '1%') AS true, count(*) FILTER (v NOT LIKE '1%') AS false, CAST(0 AS BIGINT) AS nulls FROM event_str WHERE name = 'priority'")
+register("filter_event_attr_boolean", lambda log: evaluate(Tree([Box(events={"e1": ["place order"]}, filters=[{"type": "EventAttributeValueFilter", "event": "e1", "attribute_name": "urgent", "value_filter": {"type": "Boolean", "is_true": True}}])]), with_flags(log))[0].select("e1"), "SELECT ev_id AS e1 FROM event_str WHERE name = 'priority' AND v LIKE '1%'")
+register("filter_object_id", lambda log: evaluate(Tree([Box(objects={"o1": ["order"]}, filters=[{"type": "ObjectAttributeValueFilter", "object": "o1", "attribute_name": "ocel:id", "at_time": {"type": "Always"}, "value_filter": {"type": "String", "is_in": ["o-1", "o-2", "c-3"]}}])]), log)[0].select("o1"), "SELECT ob_id AS o1 FROM object WHERE ob_type = 'order' AND ob_id IN ('o-1', 'o-2', 'c-3')")
 
 # flows
 LEAD = "l AS (SELECT *, lead(ev_type) OVER w AS nxt, lag(ev_time) OVER w AS before, row_number() OVER w AS pos FROM eo WINDOW w AS (PARTITION BY ob_id ORDER BY ev_time, ev_id))"
 register("dfg_per_type", lambda log: flows.directly_follows(log, "customer"), "SELECT ob_type, ev_type AS source, nxt AS target, count(*) AS n FROM l WHERE ob_type = 'customer' AND nxt IS NOT NULL GROUP BY 1, 2, 3", f"{OF}, {LEAD}")
+register("dfg_cases", lambda log: flows.case_directly_follows(flows.flatten(log, "order")), "SELECT ev_type AS source, nxt AS target, count(*) AS n FROM l WHERE ob_type = 'order' AND nxt IS NOT NULL GROUP BY 1, 2", f"{OF}, {LEAD}")
 register("dfg_all_types", flows.directly_follows, "SELECT ob_type, ev_type AS source, nxt AS target, count(*) AS n FROM l WHERE nxt IS NOT NULL GROUP BY 1, 2, 3", f"{OF}, {LEAD}")
 register(
     "oc_dfg_start_end", flows.start_end,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.export import binding_table
@@ -9,6 +12,7 @@ from ..plans.evaluate import evaluate
 from ..sources import extract
 from ..sources.extract import Blueprint, Mapping, Rows
 from ..sources.tables import load
+from ..streaming import incremental
 from .base import sql
 from .trees import ORDER, PLACE, Box, check, ev_attr, o2e, tree
 
@@ -43,7 +47,34 @@ register("extract_events", lambda s, d: extracted(s, d).event, "SELECT 'po' || o
 register("extract_e2o", lambda s, d: extracted(s, d).e2o.select("ev_id", "ob_id", "qualifier"), "SELECT 'po' || o_orderkey AS ev_id, 'o' || o_orderkey AS ob_id, 'order' AS qualifier FROM orders UNION ALL SELECT 'ev' || event_id, user_id::VARCHAR, 'buyer' FROM events WHERE event_type = 'purchase'", None)
 register("extract_o2o", lambda s, d: extracted(s, d).o2o.select("src_id", "dst_id", "qualifier"), "SELECT 'o' || o_orderkey AS src_id, c_custkey::VARCHAR AS dst_id, lower(c_mktsegment) AS qualifier FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'", None)
 register("extract_attributes", lambda s, d: extracted(s, d).event_attr.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count("value.f").alias("floats"), F.count("value.i").alias("integers")), "SELECT 'price' AS name, count(*) AS n, count(o_totalprice) AS floats, CAST(0 AS BIGINT) AS integers FROM orders UNION ALL SELECT 'k', count(*), CAST(0 AS BIGINT), count(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) FROM events WHERE event_type = 'purchase'", None)
-register("extract_report", lambda s, d: BLUEPRINT.report({t: s.read.parquet(f"{d}/{t}.parquet") for t in SOURCES}))
+register(
+    "extract_report", lambda s, d: BLUEPRINT.report({t: s.read.parquet(f"{d}/{t}.parquet") for t in SOURCES}),
+    "WITH n AS (SELECT (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM events WHERE event_type = 'purchase') AS p, (SELECT count(*) FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase') AS b, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P') AS r) SELECT unnest(['event', 'object', 'event_attr', 'object_attr', 'e2o', 'o2o', 'type_decl']) AS frame, unnest([o + p, c + o, o + p, 2 * c + o, o + b, r, 5]) AS rows FROM n",
+    None,
+)
+
+
+def _ordered(s, d):
+    """Orders to the first of three groups that fits."""
+    kinds = [("big", "o_totalprice > 200000"), ("finished", "o_orderstatus = 'F'"), ("other", None)]
+    mappings = [Mapping(Rows("orders"), "object", kind, "concat('o', o_orderkey)", when=when, group="orders") for kind, when in kinds]
+    return Blueprint(mappings).run({"orders": s.read.parquet(f"{d}/orders.parquet")}).object.groupBy("ob_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+register("extract_ordered", _ordered, "SELECT CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_orderstatus = 'F' THEN 'finished' ELSE 'other' END AS ob_type, count(*) AS n FROM orders GROUP BY 1", None)
+
+
+def _scratch(spark):
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="trailweave-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _stream_counts(spark, sf_dir):
+    """Hours that the watermark has closed once the whole table is read as a stream."""
+    return incremental.drained(incremental.activity_counts(incremental.event_stream(spark, sf_dir).withColumn("value", F.lit(1.0))), spark, _scratch(spark)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+register("stream_activity_counts", _stream_counts, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2", None)
 register("column_domain", lambda s, d: extract.domain(s.read.parquet(f"{d}/customer.parquet"), "c_mktsegment"), "SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1", None)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filtering import filter_log
-from ..plans.evaluate import evaluate, page, summary
+from ..plans.evaluate import evaluate, label_bindings, page, profile, summary
 from ..plans.tree import Box, Gate, Tree
 from ..sources.tables import load
 from .base import sql
@@ -226,6 +226,23 @@ def page_violated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["page_violated"] = page_violated
 SQL["page_violated"] = sql("SELECT o1, 0 AS violated FROM g WHERE bad > 0 ORDER BY o1 LIMIT 50 OFFSET 20", f"{SHIPS}, {QUANTITY}")
 
+
+
+def plan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile(tree(Box(objects=ORDER, events={**PLACE, **SHIP}, filters=[o2e("o1", "e1"), o2e("o1", "e2"), gap("e1", "e2", 0.0)])), load(spark, sf_dir)).select("node", "step", "rows")
+
+
+QUERIES["plan_profile"] = plan_profile
+SQL["plan_profile"] = sql("SELECT 0 AS node, 1 AS step, count(*) AS rows FROM object WHERE ob_type = 'order' UNION ALL SELECT 0, 2, count(*) FROM op UNION ALL SELECT 0, 3, count(*) FROM op JOIN os USING (o1) WHERE t2 >= t1", f"{ORDERS_PLACED}, {SHIPS}")
+
+
+def labelled_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_bindings(tree(Box(objects=ORDER, events=SHIP, filters=[o2e("o1", "e2")], constraints=[check(BIG)])), load(spark, sf_dir), ["o1"])
+
+
+QUERIES["labelled_bindings"] = labelled_bindings
+SQL["labelled_bindings"] = sql("SELECT o1, bool_and(ok) AS satisfied FROM q GROUP BY o1", f"{SHIPS}, {QUANTITY}")
+
 # log filtering
 FILTER = tree(Box(objects=ORDER, events=PLACE, filters=[o2e("o1", "e1", None, "INCLUDED"), ev_attr("e1", "totalprice", type="Float", min=100000.0)], marks={"o1": "INCLUDED", "e1": "INCLUDED"}))
 BIG_ORDERS = "b AS (SELECT ev_id, replace(ev_id, 'po-', 'o-') AS ob_id FROM event_num WHERE name = 'totalprice' AND v >= 100000)"

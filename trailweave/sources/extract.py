@@ -3,7 +3,9 @@
 A blueprint names row sources (tables, filters, joins, unions) and mappings from
 their rows to events, objects and relations.  Predicates and values are Spark SQL
 text.  Policies: a repeated object id keeps the first by the order given or
-fails; a relation with a missing end is dropped, creates the object, or fails.
+fails; a relation with a missing end is dropped, creates the object, or fails (an
+event is not created: it would have no time).  Mappings of one ``group`` apply in
+order: a row goes to the first whose ``when`` holds.
 """
 
 from __future__ import annotations
@@ -90,6 +92,7 @@ class Mapping:
     split: str | None = None
     when: str | None = None
     order: str = ""
+    group: str | None = None
 
 
 @dataclass
@@ -123,6 +126,9 @@ class Blueprint:
 
         for nth, m in enumerate(self.mappings):
             df = m.rows.frame(tables)
+            for earlier in self.mappings[:nth] if m.group else []:
+                if earlier.group == m.group:
+                    df = df.filter(~F.coalesce(F.expr(earlier.when or "true"), F.lit(False)))
             df = df.filter(F.expr(m.when)) if m.when else df
             name = lambda expression, kind: F.concat(F.lit(f"{kind}:"), F.expr(expression).cast("string")) if self.prefix_ids and kind else F.expr(expression).cast("string")
             if m.to in ("event", "object"):
@@ -144,7 +150,7 @@ class Blueprint:
                 types = m.type.split(">") if m.type else ["", ""]
                 wrap = lambda c, kind: F.concat(F.lit(f"{kind}:"), c) if self.prefix_ids and kind else c
                 rel = df.select(name(m.source, types[0]).alias(ends[0]), F.explode(ids(m.target, m.split)).alias("_t"), F.expr(m.qualifier).cast("string").alias("qualifier"))
-                add(m.to, rel.select(ends[0], wrap(F.col("_t"), types[-1]).alias(ends[1]), "qualifier", F.lit(types[-1]).alias("_type")).filter(f"{ends[0]} is not null"))
+                add(m.to, rel.select(ends[0], wrap(F.col("_t"), types[-1]).alias(ends[1]), "qualifier", F.lit(types[0]).alias("_from"), F.lit(types[-1]).alias("_type")).filter(f"{ends[0]} is not null"))
         frames = self._closed(spark, out)
         return Log(*frames, spark.createDataFrame(sorted(set(decl), key=str), "scope string, type_name string, attr string, value_type string"))
 
@@ -157,17 +163,17 @@ class Blueprint:
             raise ValueError("an object id occurs twice")
         first = F.row_number().over(W.partitionBy("ob_id").orderBy("_rank", "ob_type"))
         objects = objects.withColumn("_n", first).filter("_n = 1").select("ob_id", "ob_type")
-        e2o = out["e2o"] if out["e2o"] is not None else empty("ev_id string, ob_id string, qualifier string, _type string")
-        o2o = out["o2o"] if out["o2o"] is not None else empty("src_id string, dst_id string, qualifier string, _type string")
-        named = e2o.select("ob_id", "_type").unionByName(o2o.select(F.col("dst_id").alias("ob_id"), "_type"))
+        e2o = out["e2o"] if out["e2o"] is not None else empty("ev_id string, ob_id string, qualifier string, _from string, _type string")
+        o2o = out["o2o"] if out["o2o"] is not None else empty("src_id string, dst_id string, qualifier string, _from string, _type string")
+        named = e2o.select("ob_id", "_type").unionByName(o2o.select(F.col("dst_id").alias("ob_id"), "_type")).unionByName(o2o.select(F.col("src_id").alias("ob_id"), F.col("_from").alias("_type")))
         lacking = named.join(objects, "ob_id", "left_anti")
         if self.missing == "create":
             objects = objects.unionByName(lacking.groupBy("ob_id").agg(F.min("_type").alias("ob_type")))
-        elif self.missing == "error" and not lacking.isEmpty():
-            raise ValueError("a relation names an object that does not exist")
+        elif self.missing == "error" and not (lacking.isEmpty() and e2o.join(event, "ev_id", "left_anti").isEmpty()):
+            raise ValueError("a relation names an object or an event that does not exist")
         ea = out["event_attr"] if out["event_attr"] is not None else empty("ev_id string, name string, value struct<kind:string,s:string,i:bigint,f:double,b:boolean,t:timestamp_ntz>")
         oa = out["object_attr"] if out["object_attr"] is not None else empty("ob_id string, name string, ts timestamp_ntz, ordinal long, value struct<kind:string,s:string,i:bigint,f:double,b:boolean,t:timestamp_ntz>")
-        return event, objects, ea, oa, related(event, objects, e2o.drop("_type").distinct()), related_objects(objects, o2o.drop("_type").distinct())
+        return event, objects, ea, oa, related(event, objects, e2o.drop("_from", "_type").distinct()), related_objects(objects, o2o.drop("_from", "_type").distinct())
 
     def report(self, tables: dict[str, DataFrame]) -> DataFrame:
         """(frame, rows) of what a run gives."""

@@ -35,3 +35,10 @@ def followed(events: DataFrame, first: str, second: str, seconds: int, late: str
     b = events.filter(F.col("event_type") == second).select(F.col("event_id").alias("follower"), F.col("user_id").alias("who"), F.col("ts").alias("at")).withWatermark("at", late).alias("b")
     on = F.expr(f"user_id = who AND at >= ts AND at <= ts + INTERVAL {int(seconds)} SECONDS")
     return a.join(b, on, "left_outer").select("event_id", "follower")
+
+
+def drained(stream: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """What a stream's closed windows give once all present files are read, kept under ``path``."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
