@@ -27,11 +27,39 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables in the shared scratch folder that can be dropped once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = scratch_dir(self.spark)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back (cuts lineage)."""
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(spark).keep(df)
+
+
+def join_by_rank(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with ``right``, which has one row per key with its number ``n`` of ``total`` rows in ``left``.
+
+    Keys of a thousandth of the rows or more (at most a thousand keys) are joined by broadcast, so none of
+    them meets in one task; the others by shuffle.
+    """
+    often = F.col("n") >= max(1000, total // 1000)
+    hot = F.broadcast(right.filter(often).drop("n"))
+    return left.join(hot, key).unionByName(left.join(F.broadcast(right.filter(often).select(key)), key, "left_anti").join(right.filter(~often).drop("n"), key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,9 @@ aggregate (smallest id), joined back by fingerprint.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like
 any other; a null id never names a component if the component has an id (else
-the component is null); repeated rows stay, each with its component.
+the component is null); repeated rows stay, each with its component; very long texts
+are read whole; an empty table gives no rows; other columns, whatever their names,
+are not carried (the pipeline's stage keeps them).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize, slices, text_or_empty
+from .common import Scratch, join_by_rank, map_texts, materialize, slices, spread, table, text_or_empty
 
 SEED = 42
 SHARD = 32_768  #: distinct fingerprints at home in a shard
@@ -156,9 +158,9 @@ def merged(n: int, pairs) -> np.ndarray:
     return root
 
 
-def shard_links(table: pa.Table, reach: int) -> pa.Table:
+def shard_links(rows: pa.Table, reach: int) -> pa.Table:
     """At most one link (smaller, larger) for each fingerprint of a shard."""
-    fps, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy()
+    fps, home = rows.column("fp").to_numpy().view(np.uint64), rows.column("home").to_numpy()
     order = np.argsort(fps, kind="stable")
     fps, home = fps[order], home[order]
     at_home = np.flatnonzero(home)
@@ -167,19 +169,20 @@ def shard_links(table: pa.Table, reach: int) -> pa.Table:
     return pa.table({"a": fps[root[linked]].view(np.int64), "b": fps[linked].view(np.int64)})
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node that has a link; root is the smallest node of its component."""
-    edges = materialize(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    scratch = scratch or Scratch(spark)
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
         # large star: neighbours above a node are hung on the smallest node around it
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_by_rank(both.filter("v > u"), low, "u", 2 * edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: a node and its smaller neighbours are hung on the smallest of them
-        large = materialize(spark, large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        new = materialize(spark, small)
+        large = scratch.keep(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_by_rank(large, low, "u", large.count()).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        new = scratch.keep(small)
         # done when each node hangs on one root that hangs on nothing
         open_ = new.groupBy("u").count().filter("count > 1").select("u").union(new.select("v").distinct().join(new.select(F.col("u").alias("v")), "v", "left_semi")).limit(1).count()
         edges = new
@@ -190,8 +193,8 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, reach: int = 2) -> DataFrame:
     """``id``, ``fp`` and ``component_id`` (smallest id reachable over links of at most ``reach`` bits) of every row."""
-    docs = materialize(spark, fingerprints(df, id_col, text_col, size).select("id", "fp"))
-    groups = materialize(spark, docs.groupBy("fp").agg(F.min("id").alias("least")))
+    docs, scratch = materialize(spark, fingerprints(df, id_col, text_col, size).select("id", "fp")), Scratch(spark)
+    groups = scratch.keep(docs.groupBy("fp").agg(F.min("id").alias("least")))
     n = groups.count()
     shards = min(MOST_SHARDS, max(1, -(-n // SHARD)))
     depth = (shards - 1).bit_length()
@@ -207,10 +210,11 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
 
     dealt = groups.select("fp").mapInArrow(deal, "fp long, shard long, home boolean")
     links = dealt.groupBy("shard").applyInArrow(lambda t: shard_links(t, reach), "a long, b long")
-    linked = components(spark, links)
+    linked = components(spark, links, scratch)
     least = linked.join(groups, linked["node"] == groups["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(least, "root").select(F.col("node").alias("fp"), "component")
     named = materialize(spark, groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
+    scratch.drop()
     return docs.join(named, "fp").select("id", "fp", "component_id")
 
 
@@ -248,10 +252,10 @@ def similar_links(sets: list[np.ndarray], least: float = ALIKE) -> np.ndarray:
     return root
 
 
-def _alike(table: pa.Table) -> pa.Table:
+def _alike(rows: pa.Table) -> pa.Table:
     """A link (a, b) of each text to the first of its component within the group."""
-    keys = table.column("key").to_numpy()
-    root = similar_links([np.unique(shingle_hashes(b, COPY_SIZE)) for b in table.column("body").to_pylist()])
+    keys = rows.column("key").to_numpy()
+    root = similar_links([np.unique(shingle_hashes(b, COPY_SIZE)) for b in rows.column("body").to_pylist()])
     linked = np.flatnonzero(root != np.arange(len(root)))
     return pa.table({"a": keys[root[linked]], "b": keys[linked]})
 
@@ -277,28 +281,29 @@ def drop_near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_
             signs = [bands(x).view(np.int64) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], [*batch.schema.names, "key", "bands"])
 
-    docs = materialize(spark, source.mapInArrow(sign, schema).drop("body"))
-    texts = materialize(spark, docs.groupBy("key").agg(F.min("tag").alias("tag")))  # distinct sets, each with one row
+    docs, scratch = materialize(spark, source.mapInArrow(sign, schema).drop("body")), Scratch(spark)
+    texts = scratch.keep(docs.groupBy("key").agg(F.min("tag").alias("tag")))  # distinct sets, each with one row
     signed = docs.select("tag", "bands").join(texts, "tag").select("key", F.explode("bands").alias("band"))
-    signed = materialize(spark, signed)
+    signed = scratch.keep(signed)
     shared = signed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    near = components(spark, signed.join(shared, "band").filter("low <> key").select(F.col("low").alias("a"), F.col("key").alias("b")))
+    near = components(spark, signed.join(shared, "band").filter("low <> key").select(F.col("low").alias("a"), F.col("key").alias("b")), scratch)
     bodies = docs.select("tag", text_or_empty(f"row.`{text_col}`").cast("binary").alias("body"))
-    near = materialize(spark, bodies.join(near.join(texts, near["node"] == texts["key"]).select("tag", "key", "root"), "tag").drop("tag"))
+    near = scratch.keep(bodies.join(near.join(texts, near["node"] == texts["key"]).select("tag", "key", "root"), "tag").drop("tag"))
     # a large group is cut into blocks, and each pair of blocks meets in one task
     parts = near.groupBy("root").agg(F.ceil(F.sum(F.length("body")) / BLOCK).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     dealt = near.join(parts, "root").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "key", "body")
-    linked = components(spark, dealt.groupBy("root", "p", "q").applyInArrow(_alike, "a long, b long"))
+    linked = components(spark, dealt.groupBy("root", "p", "q").applyInArrow(_alike, "a long, b long"), scratch)
     rows = docs.select("tag", "key", F.col(f"row.`{id_col}`").alias("id"), F.xxhash64("row").alias("hash"))
-    rows = materialize(spark, rows.join(linked, rows["key"] == linked["node"], "left").select("tag", "id", "hash", F.coalesce("root", "key").alias("component")))
+    rows = scratch.keep(rows.join(linked, rows["key"] == linked["node"], "left").select("tag", "id", "hash", F.coalesce("root", "key").alias("component")))
     kept = rows.groupBy("component", F.col("id").isNull()).agg(F.min(F.struct("id", "hash", "tag")).alias("least")).select("least.tag")
     gone = materialize(spark, rows.select("tag").join(kept, "tag", "left_anti"))
+    scratch.drop()
     return docs.join(gone, "tag", "left_anti").select(*[F.col(f"row.`{c}`") for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = near_duplicates(spark, docs)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
