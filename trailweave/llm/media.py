@@ -6,16 +6,25 @@ Aho-Corasick pass over the bytes locates magic numbers, validators confirm
 structure and lengths at each, and what holds up is the true type or an
 embedded (carved) object.
 
+Lengths are those that the structure itself tells: chunks, frames, pages, sections or
+a compressed stream that end where the next part, or a valid end mark, says so.  What is
+cut short is not confirmed.  Bytes inside a confirmed object are not validated again at
+marks of the same kind, so an archive of many entries is walked once.
+
 Defined cases: null and empty texts are one block of zeros; media of no known
 structure have type ``unknown`` and no payload; null media have no row values;
-equal payloads give equal media; other columns pass through.
+equal payloads give equal media; repeated rows are stored each; long texts are one
+media value each, about 4 MB at a time; an empty table gives no rows; other columns,
+whatever their names, pass through in ``row``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -24,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, slices
+from .common import map_texts, slices, spread, table
 
 BLOCK = 64
 RATE = 8000
@@ -34,6 +43,10 @@ MAGIC = {
 }
 
 
+_SCAN_END = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]", re.S)
+_PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+
+
 def padded(body: bytes, block: int = BLOCK) -> bytes:
     """The bytes with zeros up to a positive multiple of ``block``."""
     return body + bytes(-len(body) % block if body else block)
@@ -97,26 +110,55 @@ def _jpeg(raw: bytes, at: int) -> int:
     pos = at + 2
     while pos + 4 <= len(raw) and raw[pos] == 0xFF:
         mark, size = raw[pos + 1], struct.unpack_from(">H", raw, pos + 2)[0]
-        if mark == 0xDA:
-            end = raw.find(b"\xff\xd9", pos)
-            return end + 2 - at if end >= 0 else 0
-        if size < 2 or mark in (0x00, 0xFF):
+        if size < 2 or mark in (0x00, 0xD8, 0xFF):
             return 0
         pos += 2 + size
+        if mark == 0xDA:  # entropy-coded data up to the next marker that is no stuffing and no restart
+            found = _SCAN_END.search(raw, pos)
+            if not found:
+                return 0
+            pos = found.start()
+            if raw[pos + 1] == 0xD9:
+                return pos + 2 - at
     return 0
 
 
 def _pdf(raw: bytes, at: int) -> int:
-    end = raw.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and raw[at + 5 : at + 6].isdigit() and raw.find(b"startxref", at, end) >= 0 else 0
+    """To the last end mark, before another header, whose ``startxref`` points at a cross-reference inside the file."""
+    if not re.match(rb"\d\.\d", raw[at + 5 : at + 8]):
+        return 0
+    other = raw.find(b"%PDF-", at + 5)
+    length = 0
+    for m in _PDF_END.finditer(raw, at, other if other >= 0 else len(raw)):
+        xref = at + int(m[1])
+        if at < xref < m.start() and (raw.startswith(b"xref", xref) or re.match(rb"\d+ \d+ obj", raw[xref : xref + 24])):
+            length = m.end() - at
+    return length
 
 
 def _zip(raw: bytes, at: int) -> int:
-    end = raw.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(raw):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", raw, end + 12)
-    return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(raw) else 0
+    """Local entries, then the central directory, then its end record, each where the one before says."""
+    pos = at
+    while raw[pos : pos + 4] == b"PK\x03\x04" and pos + 30 <= len(raw):
+        flags, size, name, extra = struct.unpack_from("<H", raw, pos + 6)[0], *struct.unpack_from("<I", raw, pos + 18), *struct.unpack_from("<HH", raw, pos + 26)
+        data = pos + 30 + name + extra
+        if flags & 8:  # sizes follow the data: the central directory has them
+            break
+        pos = data + size
+    end = raw.find(b"PK\x05\x06", pos)
+    while end >= 0 and end + 22 <= len(raw):
+        count, size, start, note = struct.unpack_from("<HIIH", raw, end + 10)
+        if at + start + size == end and at + start >= pos and end + 22 + note <= len(raw):
+            here, seen = at + start, 0
+            while raw[here : here + 4] == b"PK\x01\x02" and here + 46 <= end:
+                name, extra, comment = struct.unpack_from("<HHH", raw, here + 28)
+                entry = at + struct.unpack_from("<I", raw, here + 42)[0]
+                if raw[entry : entry + 4] != b"PK\x03\x04":
+                    return 0
+                here, seen = here + 46 + name + extra + comment, seen + 1
+            return end + 22 + note - at if here == end and seen == count else 0
+        end = raw.find(b"PK\x05\x06", end + 4)
+    return 0
 
 
 def _gzip(raw: bytes, at: int) -> int:
@@ -137,16 +179,94 @@ def _bmp(raw: bytes, at: int) -> int:
     return size if not spare and head in (12, 40, 108, 124) and 14 + head <= start <= size <= len(raw) - at else 0
 
 
+def _crc(data: bytes, width: int, polynomial: int) -> int:
+    """Checksum, most significant bit first, from zero."""
+    table, crc, mask = _crc_table(width, polynomial), 0, (1 << width) - 1
+    for x in data:
+        crc = (crc << 8 & mask) ^ table[(crc >> (width - 8)) ^ x]
+    return crc
+
+
+@cache
+def _crc_table(width: int, polynomial: int) -> tuple[int, ...]:
+    top, mask, out = 1 << (width - 1), (1 << width) - 1, []
+    for x in range(256):
+        c = x << (width - 8)
+        for _ in range(8):
+            c = (c << 1 ^ polynomial if c & top else c << 1) & mask
+        out.append(c)
+    return tuple(out)
+
+
+def _flac_header(raw: bytes, pos: int) -> int:
+    """Length of a frame's header at ``pos`` if its checksum holds, else 0."""
+    if pos + 6 > len(raw) or raw[pos] != 0xFF or raw[pos + 1] & 0xFE != 0xF8:
+        return 0
+    size, rate, lead = raw[pos + 2] >> 4, raw[pos + 2] & 15, raw[pos + 4]
+    number = 1 if lead < 0x80 else next((n for n, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8), (5, 0xF8, 0xFC), (6, 0xFC, 0xFE), (7, 0xFE, 0xFF)) if low <= lead < high), 0)
+    end = pos + 4 + number + {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    return end + 1 - pos if number and size and rate != 15 and end < len(raw) and _crc(raw[pos:end], 8, 0x07) == raw[end] else 0
+
+
 def _flac(raw: bytes, at: int) -> int:
-    return len(raw) - at if len(raw) >= at + 42 and raw[at + 4] & 0x7F == 0 and raw[at + 5 : at + 8] == b"\0\0\x22" else 0
+    """Metadata blocks, then frames: one ends where its checksum holds and another begins, or nothing more does."""
+    if raw[at + 4 : at + 5] not in (b"\0", b"\x80") or raw[at + 5 : at + 8] != b"\0\0\x22":
+        return 0
+    pos = at + 4
+    while True:
+        if pos + 4 > len(raw):
+            return 0
+        last, pos = raw[pos] & 0x80, pos + 4 + int.from_bytes(raw[pos + 1 : pos + 4])
+        if last:
+            break
+    if pos > len(raw):
+        return 0
+    total = int.from_bytes(raw[at + 21 : at + 26]) & 0xFFFFFFFFF
+    most = int.from_bytes(raw[at + 15 : at + 18]) or 1 << 20  # bytes of the longest frame
+    done = 0
+    while (head := _flac_header(raw, pos)) and (not total or done < total):
+        # the frame's checksum leaves nothing over its own two bytes
+        table, crc, end = _crc_table(16, 0x8005), 0, 0
+        for i in range(pos, min(len(raw), pos + most)):
+            crc = (crc << 8 & 0xFFFF) ^ table[(crc >> 8) ^ raw[i]]
+            if not crc and i >= pos + head + 2 and (i + 1 == len(raw) or _flac_header(raw, i + 1) or not total or done + _flac_samples(raw, pos) >= total):
+                end = i + 1
+                break
+        if not end:
+            return 0
+        done, pos = done + _flac_samples(raw, pos), end
+    return pos - at if done and (not total or done >= total) else 0
+
+
+def _flac_samples(raw: bytes, pos: int) -> int:
+    """Samples of the frame at ``pos``."""
+    size = raw[pos + 2] >> 4
+    if size in (6, 7):
+        lead = raw[pos + 4]
+        at = pos + 4 + (1 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length())
+        return int.from_bytes(raw[at : at + size - 5]) + 1
+    return 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
 
 
 def _ogg(raw: bytes, at: int) -> int:
-    pos = at
+    """Pages whose checksums hold, up to one that ends the last open stream."""
+    pos, open_ = at, set()
     while raw[pos : pos + 4] == b"OggS" and pos + 27 <= len(raw) and raw[pos + 4] == 0:
         n = raw[pos + 26]
-        pos += 27 + n + sum(raw[pos + 27 : pos + 27 + n])
-    return pos - at if at < pos <= len(raw) else 0
+        end = pos + 27 + n + sum(raw[pos + 27 : pos + 27 + n])
+        if end > len(raw) or _crc(raw[pos : pos + 22] + bytes(4) + raw[pos + 26 : end], 32, 0x04C11DB7) != struct.unpack_from("<I", raw, pos + 22)[0]:
+            return 0
+        stream = raw[pos + 14 : pos + 18]
+        if raw[pos + 5] & 2:
+            open_.add(stream)
+        elif stream not in open_:
+            return 0
+        if raw[pos + 5] & 4:
+            open_.discard(stream)
+        pos = end
+        if not open_:
+            return pos - at
+    return 0
 
 
 VALID = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "bmp": _bmp, "flac": _flac, "ogg": _ogg}
@@ -162,11 +282,12 @@ def automaton() -> ahocorasick.Automaton:
 
 def objects(raw: bytes, found: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, start, length) of the media object at the start and of objects embedded behind it, by start."""
-    out = []
+    out, upto = [], {}
     for end, (kind, n) in found.iter(raw.decode("latin-1")):
         start = end - n + 1
-        if (length := VALID[kind](raw, start)):
+        if start >= upto.get(kind, 0) and (length := VALID[kind](raw, start)):
             out.append((kind, start, length))
+            upto[kind] = start + length
     return sorted(out, key=lambda x: (x[1], -x[2], x[0]))
 
 
@@ -249,7 +370,7 @@ def carve(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = sniff(store(docs))
     return out.select(
         F.col("row.id").alias("doc_id"), F.col("row.n_bytes").alias("n_bytes"), *[F.col(f"found.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "type", "corrected", "embedded")]

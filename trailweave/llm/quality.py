@@ -5,8 +5,9 @@ lines, boilerplate, lines of symbols and shouted lines fail and are removed.
 A document goes if its base statistics fail or if removal costs it too much text.
 
 Defined cases: null, empty and blank texts have no words and fail; a line
-without a word neither counts nor fails; equal rows give equal results; other
-columns pass through.
+without a word neither counts nor fails; equal rows give equal results; very long
+texts are read whole; an empty table gives no rows; other columns, whatever their
+names, pass through in ``row``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, replaced_text
+from .common import map_texts, replaced_text, spread, table
 
 WINDOW = 8
 MOST_LOST = 0.4  #: share of word characters that removal may cost
@@ -130,5 +131,5 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judge(docs).select(F.col("id").alias("doc_id"), *[f[0] for f in _FIELDS])

@@ -6,7 +6,9 @@ Runs of hexadecimal digits have no keyword: they are found by one byte-table
 pass.  Tokens that embed a checksum or structure are validated before they count.
 
 Defined cases: null and empty texts have no spans; spans are in code points
-with an exclusive end; equal rows give equal results; other columns pass through.
+with an exclusive end; of spans of one kind the leftmost count; equal rows give equal
+results; very long texts are read whole; an empty table gives no rows; other columns,
+whatever their names, pass through in ``row``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, replaced_text
+from .common import map_texts, replaced_text, spread, table
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -172,7 +174,7 @@ def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -9,7 +9,8 @@ Each worker keeps the ids of the matches it has seen (a bounded store), so the
 merges run once per new match.
 
 Defined cases: null and empty texts have no ids; special tokens in a text are
-ordinary text; equal rows give equal results; other columns pass through.
+ordinary text; equal rows give equal results; very long texts are encoded whole; an
+empty table gives no rows; other columns, whatever their names, pass through in ``row``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
-from .common import map_texts
+from .common import map_texts, spread, table
 
 STORE = 600_000  #: most matches that a worker remembers
 LONG = 64  #: longer matches are not remembered
@@ -206,7 +207,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     n = (F.octet_length("ids") / 4).cast("long")
     return out.select(F.col("id").alias("doc_id"), n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")

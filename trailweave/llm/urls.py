@@ -13,7 +13,9 @@ The rules see host and path, the models the whole url.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; a null
 or empty one scores 0; with no accepted or no rejected URL every score is 0 and the threshold
-0, so that the verdict is ``allow``; equal urls get equal verdicts.
+0, so that the verdict is ``allow``; equal urls get equal verdicts and repeated rows are judged each;
+very long urls are read whole; an empty table gives no rows; other columns, whatever their names, are
+not carried.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread, table
 
 SYMBOLS = 32
 START, OTHER = 31, 30
@@ -100,26 +102,6 @@ def witten_bell(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.n
     return np.where(total > 0, (n + kinds * lower) / np.maximum(total + kinds, 1), lower)
 
 
-class Longer:
-    """Counts after the kept contexts of one length: sorted contexts with totals and kinds, sorted grams with counts, per class."""
-
-    def __init__(self, contexts: list[tuple], grams: list[tuple]):
-        self.contexts = np.array([c[0] for c in contexts], np.int64)
-        self.totals = np.array([c[1:] for c in contexts], float).reshape(-1, 4)
-        self.grams = np.array([g[0] for g in grams], np.int64)
-        self.counts = np.array([g[1:] for g in grams], float).reshape(-1, 2)
-
-    def blend(self, index: np.ndarray, lower: np.ndarray, good: int) -> np.ndarray:
-        if not len(self.contexts):
-            return lower
-        at = np.minimum(np.searchsorted(self.contexts, index // SYMBOLS), len(self.contexts) - 1)
-        total, kinds = self.totals[at, good], self.totals[at, 2 + good]
-        known = (self.contexts[at] == index // SYMBOLS) & (total > 0)
-        to = np.minimum(np.searchsorted(self.grams, index), len(self.grams) - 1)
-        n = np.where(self.grams[to] == index, self.counts[to, good], 0.0)
-        return witten_bell(n, np.where(known, total, 0), kinds, lower)
-
-
 def gram_ratios(spark: SparkSession, training: DataFrame, grams: DataFrame) -> DataFrame | None:
     """(gram, ratio): the ``SCALE``d log-likelihood difference of each gram's last symbol, from ``body`` and ``good`` of URLs; None if one class has none."""
     lengths = range(4, LONGEST + 2)
@@ -206,5 +188,5 @@ def filter_urls(spark: SparkSession, df: DataFrame, rules: list[tuple[str, str,
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"))
     return filter_urls(spark, pages, RULES).withColumnRenamed("id", "page_id")
