@@ -493,6 +493,91 @@ def test_media_query(spark, corpus):
     assert rows == {i: brute.media(t) for i, t in corpus}
 
 
+def plain_features(text):
+    """Stored form and feature of a text without the operator's code: 8-bit mono PCM in WAVE."""
+    import io
+    import wave
+
+    body = (text or "").encode()
+    payload = body + bytes(-len(body) % 64 if body else 64)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(1)
+        w.setframerate(media.RATE)
+        w.writeframes(payload)
+    mean = sum(payload) / len(payload)
+    spread = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+    return len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest(), mean, spread
+
+
+def test_media_stored_form_and_feature(spark, corpus):
+    for r in media.query(spark, SF).join(spark.createDataFrame(corpus[:60], "doc_id long, text string"), "doc_id").collect():
+        n, sha, mean, spread = plain_features(r["text"])
+        assert (r["media_bytes"], r["media_sha256"], r["type"]) == (n, sha, "audio/wav")
+        kind, size, a, b, embedded = r["feature"].split(":")
+        assert (kind, int(size)) == ("wav", r["payload_bytes"]) and abs(float(a) - mean) < 1e-3 and abs(float(b) - spread) < 1e-3 and int(embedded) == (r["embedded"].count(",") + 1 if r["embedded"] else 0)
+
+
+def test_lengths_come_from_the_structure():
+    import io
+    import struct
+    import zipfile
+
+    search = media.automaton()
+
+    def found(raw):
+        return [(k, s, n) for k, s, n in media.objects(raw, search)]
+
+    # zip: entries, directory and end record follow one another
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(300):
+            z.writestr(f"f{i}", b"PK\x03\x04" + b"x" * i)
+    z = out.getvalue()
+    assert found(b"..." + z + b"tail") == [("zip", 3, len(z))] and not [x for x in found(b"..." + z[:-1]) if x[1] == 3]
+    damaged = bytearray(z)
+    damaged[z.index(b"PK\x01\x02")] ^= 1
+    assert not [x for x in found(bytes(damaged)) if x[1] == 0]
+
+    # ogg: pages with checksums, to the end of the stream
+    def page(flags, number, body, serial=7):
+        head = b"OggS\0" + bytes([flags]) + struct.pack("<qII", 0, serial, number)
+        crc = media._crc(head + bytes(4) + bytes([1, len(body)]) + body, 32, 0x04C11DB7)
+        return head + struct.pack("<I", crc) + bytes([1, len(body)]) + body
+
+    ogg = page(2, 0, b"head") + page(0, 1, b"OggS inside") + page(4, 2, b"last")
+    assert found(b"x" + ogg + b"more") == [("ogg", 1, len(ogg))]
+    assert found(b"x" + ogg[:-1]) == [] and found(page(2, 0, b"head") + page(0, 1, b"open")) == [] and found(b"x" + ogg.replace(b"last", b"lost")) == []
+
+    # flac: frames with checksums, to the number of samples in the header
+    def flac(frames, samples):
+        info = struct.pack(">HH", 16, 16) + bytes(6) + (samples | (15 << 36) | (8000 << 44)).to_bytes(8) + bytes(16)
+        return b"fLaC\x80" + len(info).to_bytes(3) + info + b"".join(frames)
+
+    def frame(number, body):
+        head = b"\xff\xf8\x60\x08" + bytes([number]) + bytes([15])  # size code 6: one byte of samples - 1
+        head += bytes([media._crc(head, 8, 0x07)])
+        return head + body + struct.pack(">H", media._crc(head + body, 16, 0x8005))
+
+    f = flac([frame(0, b"abc"), frame(1, b"defg")], 32)
+    assert found(b"y" + f + b"rest") == [("flac", 1, len(f))]
+    assert found(f[:-1]) == [] and found(f.replace(b"defg", b"defh")) == [] and found(flac([frame(0, b"abc")], 32) + b"zz") == []
+
+    # pdf: the last end mark before another header, with a cross-reference where it says
+    def pdf(body):
+        head = b"%PDF-1.4\n" + body
+        return head + b"xref\n0 1\ntrailer<<>>\nstartxref\n" + str(len(head)).encode() + b"\n%%EOF"
+
+    one = pdf(b"1 0 obj <<>> endobj %%EOF in a stream\n")
+    assert found(b"q" + one + b"junk") == [("pdf", 1, len(one))] and found(one + pdf(b"2 0 obj endobj\n"))[0] == ("pdf", 0, len(one))
+    assert found(one.replace(b"xref\n0", b"yref\n0")) == [] and found(b"%PDF-1.4 startxref %%EOF") == []
+
+    # jpeg: segments, scans with stuffed bytes and restarts, end of image
+    jpeg = b"\xff\xd8\xff\xe0\x00\x06abcd\xff\xda\x00\x04zz\x12\xff\x00\x34\xff\xd0\x56\xff\xda\x00\x04zz\x99\xff\xd9"
+    assert found(b"j" + jpeg + b"\xff\xd9") == [("jpeg", 1, len(jpeg))] and found(jpeg[:-2]) == []
+
+
 def test_media_cases(docs, pairs, empty):
     out = media.sniff(media.store(docs))
     assert got(out, "row.id", "row.n_bytes", "found.payload_bytes", "found.payload_sha256", "found.tail_crc32") == sorted(((i, *brute.media(t)) for i, t in pairs), key=str)
@@ -580,12 +665,66 @@ def test_blended_probabilities_sum_to_one():
     counts[np.random.default_rng(0).integers(0, len(counts), 5000)] += 3
     p = urls.probabilities(counts).reshape(-1, urls.SYMBOLS)
     assert np.allclose(p.sum(axis=1), 1)
-    context = 77
-    longer = urls.Longer([(context, 3, 5, 1, 2)], [(context * 32 + 1, 3, 1), (context * 32 + 2, 0, 4)])
-    index = context * 32 + np.arange(32)
-    for good in (0, 1):
-        assert np.isclose(longer.blend(index, np.full(32, 1 / 32), good).sum(), 1)
-    assert np.allclose(longer.blend(index + 32, np.full(32, 1 / 32), 0), 1 / 32)
+    n, lower = np.array([3.0, 0, 5] + [0] * 29), np.full(32, 1 / 32)
+    assert np.isclose(urls.witten_bell(n, np.full(32, 8.0), np.full(32, 2.0), lower).sum(), 1)
+    assert np.allclose(urls.witten_bell(n * 0, np.zeros(32), np.zeros(32), lower), lower)
+
+
+def test_url_cases(spark):
+    """Nulls, empties, repeated rows, ties, very long urls, columns of clashing names, and an empty table."""
+    rows = [(1, None), (1, None), (None, "http://a.net/x"), (2, ""), (3, "http://" + "b" * 100_000 + ".net/"), (4, "http://c.org/x"), (5, "http://c.com/de/x"), (5, "http://c.com/de/x"), (6, "http://c.net/x"), (7, "http://c.net/x")]
+    df = spark.createDataFrame([(*r, "h", 0.5, "v", b"k") for r in rows], "page_id long, url string, host string, score double, verdict string, k binary")
+    out = urls.filter_urls(spark, df, urls.RULES).collect()
+    assert len(out) == len(rows) and {r["host"] for r in out if r["id"] == 1} == {""}
+    assert len({(r["verdict"], r["score"]) for r in out if r["id"] in (6, 7)}) == 1 and {r["score"] for r in out if r["id"] in (1, 2)} == {0.0}
+    assert urls.filter_urls(spark, df.limit(0), urls.RULES).count() == 0
+    alone = urls.filter_urls(spark, df.filter("page_id = 6"), urls.RULES).collect()
+    assert [(r["verdict"], r["score"]) for r in alone] == [("allow", 0.0)]
+
+
+def test_url_verdicts_by_brute_force(spark):
+    """Scores and the threshold from plain counts give the same verdicts on the whole table."""
+    pages = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    out = {r["page_id"]: r for r in urls.query(spark, SF).collect()}
+    bodies = {u for _, u in pages}
+    held = {r[0] for r in spark.createDataFrame([(u,) for u in bodies], "body string").filter(F.pmod(F.xxhash64(F.lit("urls"), "body"), F.lit(5)) == 0).collect()}
+    codes = lambda body: bytes([urls.START]) * 6 + body.encode().translate(urls.ALPHABET)
+    counts = [[defaultdict(lambda: defaultdict(int)) for _ in range(7)] for _ in range(2)]
+    for i, u in pages:
+        if out[i]["rule"] and u not in held:
+            x = codes(u)
+            for at in range(6, len(x)):
+                for n in range(7):
+                    counts[out[i]["verdict"] == "allow"][n][x[at - n : at]][x[at]] += 1
+
+    def score(u):
+        x, total = codes(u), 0.0
+        for at in range(6, len(x)):
+            for good in (0, 1):
+                p = 1 / 32
+                for n in range(7):
+                    if seen := counts[good][n].get(x[at - n : at]):
+                        p = (seen.get(x[at], 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+                total += np.log(p) * (2 * good - 1)
+        return total / max(1, len(x) - 6)
+
+    bins = [[0] * (urls.BINS + 1) for _ in range(2)]
+    for i, u in pages:
+        if out[i]["rule"] and u in held:
+            bins[out[i]["verdict"] == "allow"][1 + max(0, min(urls.BINS - 1, int((score(u) + urls.SPAN) * urls.BINS / (2 * urls.SPAN))))] += 1
+    right = [sum(bins[0][: b + 1]) / sum(bins[0]) + 1 - sum(bins[1][: b + 1]) / sum(bins[1]) for b in range(urls.BINS + 1)]
+    best = [b for b, r in enumerate(right) if r >= max(right) - 1e-12]
+    threshold = sum(best) / len(best) * 2 * urls.SPAN / urls.BINS - urls.SPAN
+    unsure = 0
+    for i, u in pages:
+        if not out[i]["rule"]:
+            s = score(u)
+            assert abs(out[i]["score"] - s) < 1e-4
+            if abs(s - threshold) > 2e-4:
+                assert out[i]["verdict"] == ("allow" if s >= threshold else "block")
+            else:
+                unsure += 1
+    assert unsure < 0.02 * len(pages)
 
 
 def test_url_query_matches_rules(spark):
@@ -601,7 +740,79 @@ def test_url_query_matches_rules(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule[0]) and r["verdict"] == (rule[1] or r["verdict"])
 
 
+def test_warc_clashing_columns(spark, tmp_path):
+    rows = [(1, "u", "a", 9, "s", b"p", 3), (2, "u", "a", 9, "s", b"p", 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, id long, kind string, payload binary, size long")
+    warc.write_archives(spark, df, f"file://{tmp_path}/c")
+    assert got(warc.read_archives(spark, f"file://{tmp_path}/c"), "id", "record_type", "refers_to") == [(1, "response", None), (2, "revisit", 1)]
+
+
+def plain_spans(text):
+    """Token, structure and key-body spans of a text by plain patterns, beside the base kinds."""
+    return {(m.start(), m.end()) for m in re.finditer(r"\bgh[pousr]_[0-9A-Za-z]{36}\b", text)}
+
+
+def test_github_tokens_by_brute_force(spark):
+    import zlib
+
+    rng = random.Random(9)
+    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def token(good):
+        body = "".join(rng.choices(letters, k=30))
+        n, tail = zlib.crc32(body.encode()) + (not good), ""
+        for _ in range(6):
+            n, d = divmod(n, 62)
+            tail = letters[d] + tail
+        return "ghp_" + body + tail
+
+    texts = []
+    for i in range(40):
+        good = [rng.random() < 0.5 for _ in range(3)]
+        texts.append((i, " é ".join(f"x {token(g)} y" for g in good), good))
+    out = {r["id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "github"] for r in secrets.find_secrets(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")).collect()}
+    order = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for i, text, _ in texts:
+        want = []
+        for start, end in sorted(plain_spans(text)):
+            tail, n = text[end - 6 : end], 0
+            for c in tail:
+                n = 62 * n + secrets._BASE62.decode().index(c) if order else n
+            if n == zlib.crc32(text[start + 4 : end - 6].encode()):
+                want.append((start, end))
+        assert out[i] == want
+
+
+def test_quality_verdict_by_brute_force(spark, corpus):
+    """What removal of failing lines costs, line by line, decides beside the base rules."""
+    rows = {r["doc_id"]: r for r in quality.query(spark, SF).collect()}
+    for i, t in corpus:
+        lines = [x for x in (t or "").split("\n") if brute.WORD.search(x)]
+        chars = lambda x: sum(len(w) for w in brute.WORD.findall(x))
+        lost = sum(chars(x) for x in lines if quality.line_fault(x))
+        assert rows[i]["lost_chars"] == lost and rows[i]["kept"] == (not rows[i]["base_failed"] and lost <= quality.MOST_LOST * sum(map(chars, lines)))
+
+
 # the pipeline
+def test_pipeline_cases(spark, tmp_path, docs, tokenizers_):
+    """Nulls, empties, long texts, repeats and clashing columns, and empty tables, through all stages."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.createDataFrame([(i, int(i == 3)) for i in range(20)], "doc_id long, toxic int")
+    for name, df, marks in (("some", docs, labels), ("none", docs.limit(0), labels.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        df.write.parquet(f"{folder}/documents.parquet")
+        marks.write.parquet(f"{folder}/labels.parquet")
+        out = pipeline.run(spark, folder).collect()
+        assert (len(out) > 10) if name == "some" else out == []
+        if out:
+            ids = {r["doc_id"] for r in out}
+            assert None in ids and 5 in ids and 6 not in ids
+            check = defaultdict(int)
+            for r in out:
+                check[r["sequence_id"]] += r["length"]
+            assert max(check.values()) <= 1024
+
+
 def test_pipeline(spark, monkeypatch):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
