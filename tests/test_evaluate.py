@@ -272,4 +272,4 @@ def test_auto_discovery(log):
     found = auto_discover(log, ["order"], 0.5)
     assert len({name for name, _ in found}) == len(found) and any(name.startswith("=") for name, _ in found)
     assert all(evaluate(t, log)[0].count() >= 0 for _, t in found[:3])
-    assert covering_ranges({0: 1, 1: 5, 2: 5, 9: 1}, 0.8) == [(0, 2)] and covering_ranges({3: 4}, 1.0) == [(3, 3)]
+    assert covering_ranges({0: 1, 1: 5, 2: 5, 9: 1}, 0.8) == [(0, 2), (1, 3)] and covering_ranges({3: 4}, 1.0) == [(3, 3)]
