@@ -284,6 +284,24 @@ def test_drop_near_duplicates_by_jaccard(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(root)) and 25 < len(set(root)) < len(texts)
 
 
+def test_similar_links_by_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        pool, sets = r.integers(0, 1 << 63, int(r.integers(6, 200)), dtype=np.uint64), []
+        for _ in range(int(r.integers(1, 40))):
+            x = sets[int(r.integers(len(sets)))].copy() if sets and r.random() < 0.6 else r.choice(pool, int(r.integers(1, len(pool))))
+            k = int(r.integers(0, 1 + len(x) // 5))
+            x[r.choice(len(x), k, replace=False)] = r.integers(0, 1 << 63, k, dtype=np.uint64)
+            sets.append(np.unique(x))
+        want = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 5 * both >= 4 * (len(a) + len(b) - both):
+                    want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+        assert simhash.similar_links(sets).tolist() == want
+
+
 def test_drop_near_duplicates_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text)] * 3 + [(1, text + " x"), (2, text)] + [(None, text)] * 4 + [(None, "alone"), (None, "alone")]
@@ -320,6 +338,16 @@ def test_encoding_equals_tiktoken(tokenizers_, tiktoken_):
         assert codec.decode(ids) == text.encode() and plain.encode(text) == plain.whole(text)
 
 
+def test_store_keeps_frequent_matches(monkeypatch):
+    monkeypatch.setattr(tokens, "STORE", 6)
+    asked = []
+    store = tokens.Store(lambda w: asked.append(w) or w.encode())
+    for i in range(30):
+        assert store["often"] == b"often" and store[f"w{i}"] == f"w{i}".encode() and store["x" * 99] == b"x" * 99
+        assert len(store) + len(store.older) <= 6
+    assert asked.count("often") == 1 and asked.count("x" * 99) == 30
+
+
 def test_encoding_query(spark, corpus, tiktoken_):
     want = {}
     for i, t in corpus:

@@ -228,15 +228,38 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def similar_links(sets: list[np.ndarray], least: float = ALIKE) -> np.ndarray:
-    """Smallest index of each set's component over pairs of exact Jaccard similarity ``least`` or more."""
+    """Smallest index of each set's component over pairs of exact Jaccard similarity ``least`` or more.
+
+    Such a pair shares a shingle among the first n - ceil(``least`` n) + 1 of each set's n, rarest of the
+    group first, so only sets that meet there are compared: texts that merely stand in one group cost nothing.
+    """
     lengths = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    _, every, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    every = rank[every]
+    every = every[np.lexsort((every, owner))]
     ends = np.cumsum(lengths)
-    _, every = np.unique(np.concatenate(sets), return_inverse=True)
-    mark, root = np.zeros(len(every), bool), np.arange(len(sets))
-    for i in range(len(sets) - 1):
+    nth = np.arange(len(every)) - np.repeat(ends - lengths, lengths)
+    leads = np.flatnonzero(nth <= (lengths - np.ceil(least * lengths - 1e-9))[owner])  # places of the rarest shingles
+    order = np.lexsort((owner[leads], every[leads]))
+    listed, holders = every[leads][order], owner[leads][order]  # by shingle, the sets that lead with it, in order
+    place = np.empty(len(leads), np.int64)
+    place[order] = np.arange(len(leads))
+    last = np.searchsorted(listed, every[leads], "right")
+    until = np.searchsorted(owner[leads], np.arange(len(sets)), "right")
+    mark, root, parts, begin = np.zeros(len(every), bool), np.arange(len(sets)), len(sets), 0
+    for i, end in enumerate(until):
+        low, n = place[begin:end] + 1, last[begin:end] - place[begin:end] - 1
+        begin = end
+        low, n = low[n > 0], n[n > 0]
+        if parts == 1 or not len(n):
+            continue
+        others = holders[np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)]
         # a set of the same component needs no comparison, nor one of too different a size
-        short, long = np.minimum(lengths[i + 1 :], lengths[i]), np.maximum(lengths[i + 1 :], lengths[i])
-        others = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (short >= least * long))
+        others = np.unique(others[root[others] != root[i]])
+        others = others[np.minimum(lengths[others], lengths[i]) >= least * np.maximum(lengths[others], lengths[i])]
         if not len(others):
             continue
         mine = every[ends[i] - lengths[i] : ends[i]]
@@ -249,6 +272,7 @@ def similar_links(sets: list[np.ndarray], least: float = ALIKE) -> np.ndarray:
         joined = np.unique(root[np.append(others[both >= least * (n + lengths[i] - both)], i)])
         if len(joined) > 1:
             root[np.isin(root, joined)] = joined[0]
+            parts -= len(joined) - 1
     return root
 
 
