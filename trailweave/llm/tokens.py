@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
 from functools import cache
 
 import numpy as np
@@ -63,21 +64,41 @@ def mapped(raw: bytes) -> str:
 
 
 class Store(dict):
-    """Ids (little-endian unsigned 32-bit) of strings; fills itself, and starts anew when it is full."""
+    """Ids (little-endian unsigned 32-bit) of strings; fills itself.
+
+    Once half of ``STORE`` is held the strings become the older half, which takes the place of the
+    previous one; a string found there counts as seen anew, so frequent ones stay.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.encode(text)
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.encode(text)
         if len(text) <= LONG:
-            if len(self) >= STORE:
+            if len(self) >= STORE // 2:
+                self.older = dict(self)
                 self.clear()
             self[text] = ids
         return ids
 
 
+def word_encoder(model: models.BPE):
+    """Ids of one match by the model's merges, as bytes."""
+    merge, space = model.tokenize, byte_chars()[0x20]
+
+    def encode(word: str) -> bytes:
+        # of printable ASCII only the space has another character
+        chars = word.replace(" ", space) if word.isascii() and word.isprintable() else mapped(word.encode())
+        ids = [t.id for t in merge(chars)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return encode
+
+
 class Cutter:
     """Splits a text into the pattern's matches and encodes each new match by ``word``."""
 
@@ -101,7 +122,7 @@ class RankCodec:
             self.lengths[i] = len(raw)
         ranks = {raw: i for i, raw in self.bytes.items()}
         model = models.BPE({mapped(raw): i for raw, i in ranks.items()}, merges_of(ranks), ignore_merges=True)
-        self.encode = Cutter(pattern, lambda word: np.array([t.id for t in model.tokenize(mapped(word.encode()))], "<u4").tobytes()).encode
+        self.encode = Cutter(pattern, word_encoder(model)).encode
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -145,8 +166,7 @@ class FileCodec:
         parts = json.loads(self.tokenizer.to_str())
         splitter = parts.get("pre_tokenizer") or {}
         plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space") and not parts.get("normalizer")
-        model = self.tokenizer.model
-        self.encode = Cutter(BYTE_LEVEL, lambda word: np.array([t.id for t in model.tokenize(mapped(word.encode()))], "<u4").tobytes()).encode if plain else self.whole
+        self.encode = Cutter(BYTE_LEVEL, word_encoder(self.tokenizer.model)).encode if plain else self.whole
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
