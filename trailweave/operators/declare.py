@@ -128,38 +128,55 @@ def matched(log: Log, arc: Arc) -> tuple[DataFrame, list[str]]:
 def _paired(log: Log, arc: Arc) -> tuple[DataFrame, DataFrame | None, DataFrame, list[str]]:
     """Matching (keys, s_time, t, t_time), rows that no label restricts, all source rows, and their keys."""
     rows, keys = log.event.filter(F.col("ev_type") == arc.source).select(F.col("ev_id").alias("s"), F.col("ev_time").alias("s_time")), ["s"]
-    pairs, free = None, None
+    times = log.event.filter(F.col("ev_type") == arc.target).select(F.col("ev_id").alias("t"), F.col("ev_time").alias("t_time"))
+    pairs, free, alls = None, None, list(arc.all)
     for i, label in enumerate(arc.each):
         rows = rows.join(_of(log, arc.source, label, ("s", f"each{i}"), True), "s")
         keys.append(f"each{i}")
-    for i, label in enumerate(arc.each):
-        link = _of(log, arc.target, label, ("t", f"each{i}"), False)
-        pairs = rows.join(link, f"each{i}") if pairs is None else pairs.join(link, ["t", f"each{i}"], "left_semi")
-    shared = lambda label: _of(log, arc.source, label, ("s", "ob"), True).join(_of(log, arc.target, label, ("t", "ob"), False), "ob").groupBy("s", "t").agg(F.count(F.lit(1)).alias("k"))
+    sources = lambda label: _of(log, arc.source, label, ("s", "ob"), True)
+    targets = lambda label: _of(log, arc.target, label, ("t", "ob"), False)
+    sizes = lambda label: sources(label).groupBy("s").agg(F.count(F.lit(1)).alias("of"))
+    later = {"EF": "t_time > s_time", "DF": "t_time > s_time", "EP": "t_time < s_time", "DP": "t_time < s_time", "AS": "true"}[arc.kind]
+    if arc.each:
+        link = times
+        for i, label in enumerate(arc.each):
+            link = link.join(_of(log, arc.target, label, ("t", f"each{i}"), False), "t")
+        if alls:
+            # sources and targets meet where they share the bound objects and one of the label's, not by either alone
+            label = alls.pop(0)
+            size = sizes(label)
+            bare = rows.join(size, "s", "left_anti").join(link, keys[1:]).filter(later)
+            met = rows.join(sources(label), "s").join(size, "s").join(link.join(targets(label), "t"), [*keys[1:], "ob"]).filter(later)
+            met = met.groupBy(*keys, "s_time", "t", "t_time", "of").agg(F.count(F.lit(1)).alias("k")).filter("k = of")
+            pairs = met.select(*keys, "s_time", "t", "t_time").unionByName(bare.select(*keys, "s_time", "t", "t_time"))
+        else:
+            pairs = rows.join(link, keys[1:]).filter(later)
+    shared = lambda label: sources(label).join(targets(label), "ob").groupBy("s", "t").agg(F.count(F.lit(1)).alias("k"))
     for label in arc.any:
-        some = shared(label).select("s", "t")
-        pairs = rows.join(some, "s") if pairs is None else pairs.join(some, ["s", "t"], "left_semi")
+        some = shared(label).select("s", "t") if pairs is None else _common(pairs, sources(label), targets(label)).select("s", "t")
+        pairs = rows.join(some, "s").join(times, "t").filter(later) if pairs is None else pairs.join(some, ["s", "t"], "left_semi")
     if pairs is None:
         free = rows
-    for label in arc.all:
-        size = _of(log, arc.source, label, ("s", "ob"), True).groupBy("s").agg(F.count(F.lit(1)).alias("of"))
-        every = shared(label).join(size, "s").filter("k = of").select("s", "t")
+    for label in alls:
+        size = sizes(label)
+        every = (shared(label) if pairs is None else _common(pairs, sources(label), targets(label))).join(size, "s").filter("k = of").select("s", "t")
         kept = None if pairs is None else pairs.join(every, ["s", "t"], "left_semi").unionByName(pairs.join(size, "s", "left_anti"))
         if free is not None:
-            fresh = free.join(every, "s")
+            every = every if pairs is None else shared(label).join(size, "s").filter("k = of").select("s", "t")
+            fresh = free.join(every, "s").join(times, "t").filter(later).select(*keys, "s_time", "t", "t_time")
             kept, free = fresh if kept is None else kept.unionByName(fresh), free.join(size, "s", "left_anti")
         pairs = kept
-    pairs = pairs.join(log.event.filter(F.col("ev_type") == arc.target).select(F.col("ev_id").alias("t"), F.col("ev_time").alias("t_time")), "t")
-    if arc.kind in ("EF", "DF"):
-        pairs = pairs.filter("t_time > s_time")
-    elif arc.kind in ("EP", "DP"):
-        pairs = pairs.filter("t_time < s_time")
     if arc.kind in ("DF", "DP"):
         near = _trace(log, arc.each[0]).select(F.col("ob_id").alias("each0"), F.col("ev_id").alias("s"), _neighbour(arc.kind, "ev_id").alias("t"))
         pairs = pairs.join(near, ["each0", "s", "t"], "left_semi")
     return pairs, free, rows, keys
 
 
+def _common(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(s, t, k): of pairs that are found, how many objects both have; others have no row."""
+    return pairs.select("s", "t").distinct().join(sources, "s").join(targets, ["t", "ob"]).groupBy("s", "t").agg(F.count(F.lit(1)).alias("k"))
+
+
 SLOTS = 4096
 
 
