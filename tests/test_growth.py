@@ -66,3 +66,9 @@ def test_all_label_meets_by_both_objects(spark):
     other = declare.violation(log, Arc("ship", "ship", "EF", 1, None, each=("order",), any=("order",), all=("part",))).first()
     assert tuple(two) == tuple(other) == tuple(row)
     assert not re.search(r"Join Inner, \(ob#\d+ = ob#\d+\)", plan(declare.violation(log, arc)))
+
+
+def test_discovery_sorts_once(spark):
+    found = declare.discover_arcs(small_log(spark), ["order"], 0.9, ("AS", "EF", "EP", "DF", "DP"))
+    text = physical(found)
+    assert text.count("Window [") and len({x.split("Window [")[1].rsplit("], [", 2)[-1] for x in text.splitlines() if "Window [" in x}) == 1

@@ -299,15 +299,20 @@ def discover_arcs(log: Log, labels: list[Label], noise: float = 0.2, kinds: tupl
     out = None
     for label in labels:
         trace = _trace(log, label)
+        # every column is of one window in one order, so that a task sorts its rows once
+        whole = W.partitionBy("ob_id").orderBy("us", "ev_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        of = lambda t, c: F.when(F.col("is_target") & (F.col("ev_type") == t), c)
         columns = {}
         for kind in kinds:
             if kind in ("DF", "DP"):
                 columns[kind] = F.array(_neighbour(kind, "ev_type"))
                 continue
-            frame = _window(kind, W.partitionBy("ob_id"))
-            of = lambda t: F.when(F.col("is_target") & (F.col("ev_type") == t), 1)  # noqa: B023, E731
-            own = lambda t: F.when(F.col("is_target") & (F.col("ev_type") == t), 1).otherwise(0) if kind == "AS" else F.lit(0)  # noqa: B023, E731
-            columns[kind] = F.array_compact(F.array(*[F.when(F.count(of(t)).over(frame) > own(t), F.lit(t)) for t in names]))
+            hit = {
+                "EF": lambda t: F.max(of(t, F.col("us"))).over(whole) > F.col("us"),
+                "EP": lambda t: F.min(of(t, F.col("us"))).over(whole) < F.col("us"),
+                "AS": lambda t: F.count(of(t, F.lit(1))).over(whole) > F.coalesce(of(t, F.lit(1)), F.lit(0)),
+            }[kind]
+            columns[kind] = F.array_compact(F.array(*[F.when(hit(t), F.lit(t)) for t in names]))
         found = trace.withColumns({f"_{k}": c for k, c in columns.items()}).filter("is_source")
         sources = found.groupBy(F.col("ev_type").alias("source")).agg(F.count(F.lit(1)).alias("n"))
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("targets")) for k in kinds]))
