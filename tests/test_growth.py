@@ -41,6 +41,21 @@ def folder(tmp_path, **frames):
     return str(out)
 
 
+def test_few_nodes_go_to_the_relations(spark, monkeypatch):
+    log = small_log(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few, kind in ((10, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(statistics, "FRONTIER", few, raising=False)
+            seen, passed = statistics._reached(log, "i1", 2, 100)
+            assert all(kind in h._jdf.queryExecution().withCachedData().toString() for h in passed[:1])
+            assert {r["id"] for r in seen.collect()} >= {"i1", "o1", "e4"}
+            spark.catalog.clearCache()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def by_nested_loops(log, arc):
     """Source rows without a later target that has the bound object and all parts of the source."""
     of = {}
