@@ -87,3 +87,10 @@ def test_discovery_sorts_once(spark):
     found = declare.discover_arcs(small_log(spark), ["order"], 0.9, ("AS", "EF", "EP", "DF", "DP"))
     text = physical(found)
     assert text.count("Window [") and len({x.split("Window [")[1].rsplit("], [", 2)[-1] for x in text.splitlines() if "Window [" in x}) == 1
+
+
+def test_restriction_broadcasts_no_ids(spark):
+    log = small_log(spark)
+    cut = log.without_objects(log.object.filter("ob_type = 'item'"))
+    assert "BroadcastHashJoin" not in physical(cut.e2o) and "ShuffledHashJoin" in physical(cut.e2o)
+    assert cut.e2o.count() == 6 and cut.object.count() == 2
