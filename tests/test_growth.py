@@ -41,6 +41,34 @@ def folder(tmp_path, **frames):
     return str(out)
 
 
+def test_shipments_without_repeated_keys_are_not_shuffled(spark):
+    log = tables.load(spark, "/root/testdata/sf0.1")
+    assert log.single
+    for df in (log.event, log.e2o, log.event_attr):
+        assert "Window" not in plan(df)
+    assert "Aggregate" not in plan(flows.events_of(log))
+
+
+def test_shipments_with_repeated_keys(spark, line, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(tables, "FEW", few)
+    more = line.filter("l_orderkey % 7 = 0")
+    place = folder(tmp_path, lineitem=line.unionByName(more.withColumn("l_quantity", F.col("l_quantity") - 1)).unionByName(more.limit(3)))
+    got = tables.shipments(spark, place)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    order = tables.W.partitionBy(*keys).orderBy(*[c for c in line.columns if c not in keys])
+    want = spark.read.parquet(f"{place}/lineitem.parquet").withColumn("rn", F.row_number().over(order)).withColumn("ev_id", tables._id("sh", *keys, "rn"))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got.filter("rn > 1").count() > 3
+
+
+def test_tables_with_repeated_or_missing_ids_are_not_single(spark, line, tmp_path):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    assert not tables.load(spark, folder(tmp_path / "a", orders=orders.unionByName(orders.limit(1)))).single
+    assert not tables.load(spark, folder(tmp_path / "b", lineitem=line.withColumn("l_partkey", F.when(F.col("l_orderkey") != 1, F.col("l_partkey"))))).single
+    log = tables.load(spark, str(tmp_path / "a" / "tables"))
+    assert flows.events_of(log, "order").count() == flows.events_of(log, "order").distinct().count()
+
+
 def test_few_nodes_go_to_the_relations(spark, monkeypatch):
     log = small_log(spark)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
