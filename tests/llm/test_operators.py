@@ -302,6 +302,21 @@ def test_similar_links_by_brute_force():
         assert simhash.similar_links(sets).tolist() == want
 
 
+def test_drop_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """Near copies within two bits are found by the trees alone."""
+    monkeypatch.setattr(simhash, "bands", lambda x: np.array([hash(x.tobytes())], np.int64).view(np.uint64))
+    monkeypatch.setattr(simhash, "SHARD", 8)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join([*words, "end"])]
+    fps = [simhash.fingerprint(t.encode(), simhash.COPY_SIZE) for t in texts]
+    near = sum((fps[i] ^ fps[i + 1]).bit_count() <= 2 for i in range(0, 80, 2))
+    out = simhash.drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert near > 20 and out.count() == 80 - near
+
+
 def test_drop_near_duplicates_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text)] * 3 + [(1, text + " x"), (2, text)] + [(None, text)] * 4 + [(None, "alone"), (None, "alone")]

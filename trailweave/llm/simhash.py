@@ -38,6 +38,7 @@ SAMPLE_PER_SHARD = 32
 MOST_SHARDS = 1 << 14  #: bound of the broadcast tree; more data makes larger shards
 LEAF = 96
 COPY_SIZE, ALIKE = 5, 0.8  #: the pipeline's near-duplicates: words of a shingle, least Jaccard similarity
+NEAR = 2  #: bits of their fingerprints that the trees reach
 BANDS, BAND_ROWS = 36, 6
 FACTORS, MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) << np.uint64(1) | np.uint64(1)  #: odd
 BLOCK = 16 << 20  #: bytes of candidate texts in a block
@@ -61,7 +62,11 @@ def shingle_hashes(body: bytes, size: int, seed: int = SEED) -> np.ndarray:
 
 def fingerprint(body: bytes, size: int = 3, seed: int = SEED) -> int:
     """64-bit SimHash of the lower-cased text's word shingles."""
-    hashes = shingle_hashes(body, size, seed)
+    return voted(shingle_hashes(body, size, seed))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     if not len(hashes):
         return 0
     votes = np.zeros(64, np.int64)
@@ -195,6 +200,16 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     """``id``, ``fp`` and ``component_id`` (smallest id reachable over links of at most ``reach`` bits) of every row."""
     docs, scratch = materialize(spark, fingerprints(df, id_col, text_col, size).select("id", "fp")), Scratch(spark)
     groups = scratch.keep(docs.groupBy("fp").agg(F.min("id").alias("least")))
+    linked = components(spark, near_links(spark, groups, reach), scratch)
+    least = linked.join(groups, linked["node"] == groups["fp"]).groupBy("root").agg(F.min("least").alias("component"))
+    linked = linked.join(least, "root").select(F.col("node").alias("fp"), "component")
+    named = materialize(spark, groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
+    scratch.drop()
+    return docs.join(named, "fp").select("id", "fp", "component_id")
+
+
+def near_links(spark: SparkSession, groups: DataFrame, reach: int) -> DataFrame:
+    """(a, b): links that join the distinct fingerprints (``fp``) of ``groups`` as those within ``reach`` bits do, by vantage-point trees."""
     n = groups.count()
     shards = min(MOST_SHARDS, max(1, -(-n // SHARD)))
     depth = (shards - 1).bit_length()
@@ -209,13 +224,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array(shard, pa.int64()), pa.array(home)], ["fp", "shard", "home"])
 
     dealt = groups.select("fp").mapInArrow(deal, "fp long, shard long, home boolean")
-    links = dealt.groupBy("shard").applyInArrow(lambda t: shard_links(t, reach), "a long, b long")
-    linked = components(spark, links, scratch)
-    least = linked.join(groups, linked["node"] == groups["fp"]).groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(least, "root").select(F.col("node").alias("fp"), "component")
-    named = materialize(spark, groups.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
-    scratch.drop()
-    return docs.join(named, "fp").select("id", "fp", "component_id")
+    return dealt.groupBy("shard").applyInArrow(lambda t: shard_links(t, reach), "a long, b long")
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -287,30 +296,38 @@ def _alike(rows: pa.Table) -> pa.Table:
 def drop_near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates: texts linked by Jaccard similarity ``ALIKE`` or more of their sets of five-word shingles.
 
-    Two bits of a SimHash are far too strict for that and the ten or twelve it needs
-    leave no tree to prune by, so candidates share one of ``BANDS`` hashes of
-    ``BAND_ROWS`` minima (a pair at 0.8 is missed once in 56,000, one more alike
-    less often); groups of candidates are then settled by their exact sets.
+    Fingerprints of the same shingles are linked within ``NEAR`` bits by the operator's
+    vantage-point trees.  Pairs at 0.8 differ in ten or so bits, a reach that leaves
+    no tree to prune by, so texts that share one of ``BANDS`` hashes of
+    ``BAND_ROWS`` minima are linked as well (by those alone a pair at 0.8 is missed once in 56,000,
+    one more alike less often).  Groups of either kind of link are then settled by their exact sets.
     The row of smallest id stays, of equal ids that of smallest hash.  Of rows
     without an id, which none can stand for by name, one stays beside it.
     Null, empty and blank texts are one group.
     """
     source = df.select(F.monotonically_increasing_id().alias("tag"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text_or_empty(text_col).cast("binary").alias("body"))
-    schema = T.StructType([*source.schema, T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*source.schema, T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def sign(batches):
         for batch in slices(batches, "body"):
-            sets = [np.unique(shingle_hashes(b, COPY_SIZE)) for b in batch.column("body").to_pylist()]
+            hashes = [shingle_hashes(b, COPY_SIZE) for b in batch.column("body").to_pylist()]
+            fps = [_signed(voted(x)) for x in hashes]
+            sets = [np.unique(x) for x in hashes]
             keys = [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets]
             signs = [bands(x).view(np.int64) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], [*batch.schema.names, "key", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], [*batch.schema.names, "key", "fp", "bands"])
 
     docs, scratch = materialize(spark, source.mapInArrow(sign, schema).drop("body")), Scratch(spark)
-    texts = scratch.keep(docs.groupBy("key").agg(F.min("tag").alias("tag")))  # distinct sets, each with one row
+    texts = scratch.keep(docs.groupBy("key").agg(F.min(F.struct("tag", "fp")).alias("x")).select("key", "x.tag", "x.fp"))  # distinct sets, each with one row
+    prints = scratch.keep(texts.groupBy("fp").agg(F.min("key").alias("least")))
+    ends = [prints.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_key")) for x in ("a", "b")]
+    by_print = near_links(spark, prints, NEAR).join(ends[0], "a").join(ends[1], "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    by_print = by_print.union(texts.join(prints, "fp").filter("least <> key").select("least", "key"))
     signed = docs.select("tag", "bands").join(texts, "tag").select("key", F.explode("bands").alias("band"))
     signed = scratch.keep(signed)
     shared = signed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    near = components(spark, signed.join(shared, "band").filter("low <> key").select(F.col("low").alias("a"), F.col("key").alias("b")), scratch)
+    by_band = signed.join(shared, "band").filter("low <> key").select(F.col("low").alias("a"), F.col("key").alias("b"))
+    near = components(spark, by_print.union(by_band), scratch)
     bodies = docs.select("tag", text_or_empty(f"row.`{text_col}`").cast("binary").alias("body"))
     near = scratch.keep(bodies.join(near.join(texts, near["node"] == texts["key"]).select("tag", "key", "root"), "tag").drop("tag"))
     # a large group is cut into blocks, and each pair of blocks meets in one task
