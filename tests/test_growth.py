@@ -4,6 +4,7 @@ import random
 import re
 import shutil
 from datetime import datetime as D
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from trailweave.log import Log, related, related_objects
 from trailweave.operators import declare, flows, statistics
 from trailweave.operators.declare import Arc
+from trailweave.operators.temporal import range_join
 from trailweave.sources import tables
 
 from .fixtures import small_log
@@ -122,3 +124,17 @@ def test_restriction_broadcasts_no_ids(spark):
     cut = log.without_objects(log.object.filter("ob_type = 'item'"))
     assert "BroadcastHashJoin" not in physical(cut.e2o) and "ShuffledHashJoin" in physical(cut.e2o)
     assert cut.e2o.count() == 6 and cut.object.count() == 2
+
+
+def test_time_range_meets_in_narrow_buckets_spread_over_tasks(spark):
+    rng = random.Random(5)
+    frame = lambda v, n: spark.createDataFrame([(f"{v}{i}", D(2024, 1, 1, 0, 0, rng.randrange(4), rng.randrange(10) * 100_000)) for i in range(n)] + [(f"{v}none", None), (f"{v}old", D(1969, 12, 31, 23, 59, 59))], f"{v} string, {v}_time timestamp_ntz")
+    left, right = frame("a", 60), frame("b", 60)
+    a, b = ([tuple(r) for r in df.collect() if r[1]] for df in (left, right))
+    for low, high in ((0.0, 1.0), (0.1, 0.3), (-0.7, 0.2), (0.5, 0.5), (0.0, 0.0), (-1e300, float("inf")), (2.0, 1.0)):
+        got = sorted((r["a"], r["b"]) for r in range_join(left, right, "a_time", "b_time", low, high).collect())
+        assert got == sorted((x, y) for x, s in a for y, t in b if low <= (t - s) / timedelta(microseconds=1) / 1e6 <= high)
+    near = range_join(left, right, "a_time", "b_time", 0.0, 1.0)
+    met, = (x for x in plan(near).splitlines() if "Join Inner" in x)
+    assert "as timestamp" not in met  # times are numbers before they meet, not pair by pair
+    assert near.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
