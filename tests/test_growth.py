@@ -3,6 +3,7 @@
 import random
 import re
 import shutil
+from dataclasses import replace
 from datetime import datetime as D
 from datetime import timedelta
 
@@ -13,6 +14,9 @@ from trailweave.log import Log, related, related_objects
 from trailweave.operators import declare, flows, statistics
 from trailweave.operators.declare import Arc
 from trailweave.operators.temporal import range_join
+from trailweave.plans.evaluate import evaluate
+from trailweave.plans.tree import Box, Tree
+from trailweave.queries import QUERIES
 from trailweave.sources import tables
 
 from .fixtures import small_log
@@ -138,3 +142,16 @@ def test_time_range_meets_in_narrow_buckets_spread_over_tasks(spark):
     met, = (x for x in plan(near).splitlines() if "Join Inner" in x)
     assert "as timestamp" not in met  # times are numbers before they meet, not pair by pair
     assert near.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_pairs_of_like_variables_are_formed_last(spark):
+    """What hangs on either of two orders of a customer is bound before the orders meet."""
+    df = QUERIES["corpus_q7"](spark, SF)
+    last = next(x for x in plan(df).splitlines() if "Join" in x)
+    assert re.search(r"\(o1#\d+ = o1#\d+\)", last) and "NOT (o2" in last
+    small = small_log(spark)
+    o2o = related_objects(small.object, spark.createDataFrame([("o1", "i1", "of"), ("o2", "i1", "of")], "src_id string, dst_id string, qualifier string"))
+    links = [{"type": "O2O", "object": o, "other_object": "o3"} for o in ("o1", "o2")] + [{"type": "O2E", "object": o, "event": e} for o, e in (("o1", "e1"), ("o2", "e2"))]
+    box = Box(objects={"o1": ["order"], "o2": ["order"], "o3": ["item"]}, events={"e1": ["place"], "e2": ["pay", "cancel"]}, filters=[*links, {"type": "TimeBetweenEvents", "from_event": "e1", "to_event": "e2", "min_seconds": 0.0}])
+    got = evaluate(Tree([box]), replace(small, o2o=o2o))[0]
+    assert sorted((r["o1"], r["o2"], r["o3"], r["e1"], r["e2"]) for r in got.collect()) == [(a, b, "i1", x, y) for a, x in (("o1", "e1"), ("o2", "e2")) for b, y in (("o1", "e3"), ("o2", "e6"))]
