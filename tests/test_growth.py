@@ -10,6 +10,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from trailweave.functions.cel import Cel
 from trailweave.log import Log, related, related_objects
 from trailweave.operators import declare, flows, statistics
 from trailweave.operators.declare import Arc
@@ -155,3 +156,30 @@ def test_pairs_of_like_variables_are_formed_last(spark):
     box = Box(objects={"o1": ["order"], "o2": ["order"], "o3": ["item"]}, events={"e1": ["place"], "e2": ["pay", "cancel"]}, filters=[*links, {"type": "TimeBetweenEvents", "from_event": "e1", "to_event": "e2", "min_seconds": 0.0}])
     got = evaluate(Tree([box]), replace(small, o2o=o2o))[0]
     assert sorted((r["o1"], r["o2"], r["o3"], r["e1"], r["e2"]) for r in got.collect()) == [(a, b, "i1", x, y) for a, x in (("o1", "e1"), ("o2", "e2")) for b, y in (("o1", "e3"), ("o2", "e6"))]
+
+
+VALUED = ("gate_and", "cel_size_constraint", "labelled_bindings", "page_violated", "constraint_any", "constraint_or")
+
+
+def test_attributes_come_along_with_the_events(spark):
+    """No query meets the attributes by a join on the event, and rows are those of such a join."""
+    log = tables.load(spark, SF)
+    assert log.values and not log.with_events(log.event.limit(0)).values and not replace(log, event_attr=log.event_attr.filter("name = 'k'")).values
+    for name in VALUED:
+        assert not re.search(r"(e2|ev_id)#\d+ = (e2|ev_id)#\d+", plan(QUERIES[name](spark, SF)))
+    test = lambda n, **t: {"type": "EventAttributeValueFilter", "event": "e1", "attribute_name": n, "value_filter": t}
+    box = lambda types, **more: Box(events={"e1": types}, objects={"o1": ["order", "customer"]}, filters=[{"type": "O2E", "object": "o1", "event": "e1"}], **more)
+    mixed = ["place order", "ship item", "click"]
+    boxes = [
+        box(mixed, constraints=[{"type": "Filter", "filter": test("k", type="Integer", min=5)}, {"type": "Filter", "filter": test("returnflag", type="String", is_in=["R"])}]),
+        box(mixed, labels=[("none", Cel("e1.attr('quantity') == null")), ("q", Cel("e1.attr('quantity') * 2.0")), ("v", Cel("e1.attr('value')"))]),
+        box(mixed, attributes=[{"var": "e1", "name": "quantity", "kind": "float"}], labels=[("big", "e1_quantity > 20")]),
+    ]
+    for b in boxes:
+        got, want = (evaluate(Tree([b]), x)[0] for x in (log, replace(log, valued=None)))
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_relations_bring_only_the_types_that_they_meet(spark):
+    assert "concat(s-" not in plan(QUERIES["descendants_of_filtered_parent"](spark, SF))
