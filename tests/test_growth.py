@@ -183,3 +183,16 @@ def test_attributes_come_along_with_the_events(spark):
 
 def test_relations_bring_only_the_types_that_they_meet(spark):
     assert "concat(s-" not in plan(QUERIES["descendants_of_filtered_parent"](spark, SF))
+
+
+def test_children_are_counted_where_they_are(spark):
+    text = plan(QUERIES["descendants_of_filtered_parent"](spark, "/root/testdata/sf0.1"))
+    assert text.count("Join") == 1 and "Aggregate" not in text
+    log = tables.load(spark, SF)
+    for bounds in ({"min": 3, "max": 5}, {"min": 1}, {"max": 0}, {"max": 2}):
+        named = lambda n: {"type": "NumChilds", "child_name": n, **bounds}
+        nodes = [Box(events={"e2": ["ship item"]}, filters=[{"type": "O2E", "object": "o1", "event": "e2"}], children=[2]), Box(objects={"o2": ["part"]}, filters=[{"type": "O2E", "object": "o2", "event": "e2"}])]
+        one, two = (evaluate(Tree([Box(objects={"o1": ["order"]}, size_filters=f, children=[1]), *nodes], {(0, 1): "A"}), log) for f in ([named("A")], [named("A"), {"type": "Expr", "sql": "true"}]))
+        for i in range(3):
+            assert one[i].columns == two[i].columns
+            assert sorted(map(str, one[i].collect())) == sorted(map(str, two[i].collect()))
