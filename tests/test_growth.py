@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.cel import Cel
 from trailweave.log import Log, related, related_objects
-from trailweave.operators import declare, flows, statistics
+from trailweave.operators import declare, flows, pairs, statistics
 from trailweave.operators.declare import Arc
+from trailweave.operators.pairs import paired
 from trailweave.operators.temporal import range_join
 from trailweave.plans.evaluate import evaluate
 from trailweave.plans.tree import Box, Tree
@@ -196,3 +197,33 @@ def test_children_are_counted_where_they_are(spark):
         for i in range(3):
             assert one[i].columns == two[i].columns
             assert sorted(map(str, one[i].collect())) == sorted(map(str, two[i].collect()))
+
+
+def of_one_place(spark, most):
+    """A log whose first place has most of the sellers, the second has two, and the third has one; and the pairs of a place's sellers."""
+    base, places = small_log(spark), [(f"s{i}", f"n{2 if i == 0 else 1 if i < 3 else 0}") for i in range(most + 3)]
+    obj = spark.createDataFrame([(s, "seller") for s, _ in places] + [(f"n{i}", "place") for i in range(3)], base.object.schema)
+    o2o = related_objects(obj, spark.createDataFrame([(s, n, "in") for s, n in places], "src_id string, dst_id string, qualifier string"))
+    box = Box(objects={"o1": ["seller"], "o2": ["place"], "o3": ["seller"]}, filters=[{"type": "O2O", "object": o, "other_object": "o2"} for o in ("o1", "o3")] + [{"type": "NotEqual", "var_1": "o1", "var_2": "o3"}])
+    return evaluate(Tree([box]), replace(base, object=obj, o2o=o2o))[0], places
+
+
+def test_pairs_of_one_object_spread_over_tasks(spark):
+    df, _ = of_one_place(spark, 2500)
+    tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2500 * 2499 + 2 and max(tasks) < 0.8 * sum(tasks)
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_pairs_in_blocks_are_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(pairs, "FEW", few)
+    for block in (1, 7, 60):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        df, places = of_one_place(spark, 40)
+        assert sorted((r["o1"], r["o2"], r["o3"]) for r in df.collect()) == sorted((a, m, b) for a, m in places for b, n in places if m == n and a != b)
+    monkeypatch.setattr(pairs, "BLOCK", 2)
+    frame = lambda v, n: spark.createDataFrame([(f"{v}{i}", None if i % 5 == 4 else i % 3, i if i % 2 else None) for i in range(n)], f"{v} string, k int, `@x:{v}` int")
+    left, right = frame("a", 20), frame("b", 30)
+    got, want = paired(left, right, "k"), left.join(right, "k")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
