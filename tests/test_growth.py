@@ -119,6 +119,30 @@ def test_all_label_meets_by_both_objects(spark):
     assert not re.search(r"Join Inner, \(ob#\d+ = ob#\d+\)", plan(declare.violation(log, arc)))
 
 
+def test_all_label_meets_once_by_sets(spark):
+    """Of tables no event is looked up by its id; rows are those of the general plan."""
+    for tables_or_not in (True, False):
+        log = tables.load(spark, SF)
+        log = log if tables_or_not else replace(log, valued=None)
+        for arc in (Arc("ship item", "ship item", "EF", 1, None, each=("order",), all=("part",)), Arc("place order", "ship item", "EF", 2, 5, each=("order",), all=("customer",)), Arc("ship item", "place order", "EP", 1, 1, each=("order",), all=("nation",)))[: 3 if tables_or_not else 1]:
+            got = declare.violation(log, arc)
+            assert not tables_or_not or not re.search(r"\((s|t|ev_id)#\d+ = ", plan(got))
+            assert tuple(got.first()) == tuple(declare.violation(replace(log, single=False), arc).first())
+    rng, base = random.Random(4), small_log(spark)
+    event = spark.createDataFrame([(f"e{i}", rng.choice(("ship", "pay")), D(2024, 1, 1 + rng.randrange(9))) for i in range(80)], base.event.schema)
+    obj = spark.createDataFrame([(f"{t}{i}", n) for t, n, k in (("o", "order", 3), ("p", "part", 4), ("q", "place", 3)) for i in range(k)], base.object.schema)
+    pairs_ = {(f"e{i}", f"{t}{rng.randrange(k)}") for i in range(80) for t, k in (("o", 3), ("p", 4), ("q", 3)) for _ in range(rng.randrange(3))}
+    log = Log(event, obj, base.event_attr, base.object_attr, related(event, obj, spark.createDataFrame([(e, o, "q") for e, o in sorted(pairs_)], "ev_id string, ob_id string, qualifier string")), related_objects(obj, spark.createDataFrame([], "src_id string, dst_id string, qualifier string")), base.type_decl)
+    one = replace(log, single=True)
+    kinds = (("EF", 1, None), ("EP", 2, 3), ("AS", 0, 4))
+    for i, labels in enumerate(({"each": ("order",), "all": ("part",)}, {"each": ("order",), "all": ("part", "place")}, {"each": ("order", "place"), "all": ("part",)}, {"each": ("order",), "any": ("place",), "all": ("part",)}, {"each": ("order",), "any": ("part",), "all": ("part",)}, {"each": ("order",), "all": ("order",)})):
+        for kind, low, high in (kinds[i % 3], kinds[(i + 1) % 3]):
+            arc = Arc("ship", "pay", kind, low, high, **labels)
+            assert tuple(declare.violation(one, arc).first()) == tuple(declare.violation(log, arc).first())
+    columns = ["s", "each0", "s_time", "n", "first"]
+    assert sorted(map(str, declare.matched(one, arc)[0].select(*columns).collect())) == sorted(map(str, declare.matched(log, arc)[0].select(*columns).collect()))
+
+
 def test_discovery_sorts_once(spark):
     found = declare.discover_arcs(small_log(spark), ["order"], 0.9, ("AS", "EF", "EP", "DF", "DP"))
     text = physical(found)

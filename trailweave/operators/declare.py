@@ -9,13 +9,16 @@ binding) rows whose number of targets is out of bounds.
 
 With one ``each`` label, targets are counted by windows over an object's sorted
 events, and no pairs are formed.  An arc with one ``any`` label that asks for at least one
-target looks at each object's first and last target only.  Other arcs join sources
-and targets by shared object.  Without objects of an ``all`` label a source is not
+target looks at each object's first and last target only.  Arcs with ``each`` and ``all``
+types join sources and targets by the bound objects and one of the source's ``all`` objects,
+each event having its objects beside it as sets.  Other arcs join sources and targets by
+shared object.  Without objects of an ``all`` label a source is not
 restricted by it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -125,8 +128,88 @@ def matched(log: Log, arc: Arc) -> tuple[DataFrame, list[str]]:
     return out, keys
 
 
+#: When an event is a target of a source.
+LATER = {"EF": "t_time > s_time", "DF": "t_time > s_time", "EP": "t_time < s_time", "DP": "t_time < s_time", "AS": "true"}
+
+
+def _by_sets(log: Log, arc: Arc) -> bool:
+    """Whether the arc is one of ``_sharing``; where ids may repeat, an event has no one set of objects."""
+    return bool(log.single and arc.each and arc.all and arc.kind in ("AS", "EF", "EP") and all(isinstance(x, str) for x in (*arc.each, *arc.any, *arc.all)))
+
+
+def _sets(log: Log, activity: str, types: list[str], side: str) -> DataFrame:
+    """An activity's events (side, {side}_time) with the ids of their objects of each type as a set ``{side}:{type}``."""
+    when = F.col("ev_type") == activity
+    at = [F.col("ev_id").alias(side), F.col("ev_time").alias(f"{side}_time")]
+    if log.values:
+        df = log.values.objects
+        known = df.schema["of"].dataType.names
+        return df.filter(when).select(*at, *[(F.col("of").getField(t) if t in known else F.array().cast("array<string>")).alias(f"{side}:{t}") for t in types])
+    return log.e2o.filter(when & F.col("ob_type").isin(types)).groupBy(*at).agg(*[F.collect_set(F.when(F.col("ob_type") == t, F.col("ob_id"))).alias(f"{side}:{t}") for t in types])
+
+
+def _sharing(log: Log, arc: Arc, bare: bool) -> tuple[DataFrame, Callable[[str], DataFrame], list[str]]:
+    """Source rows (keys, s_time, sets), their join with matching targets, and the keys, for arcs with ``each`` and ``all`` types.
+
+    A source goes to its targets by the bound objects and its smallest object of the first ``all`` type, so that
+    a pair meets once; the sets say whether the target has the others.  ``bare`` tells whether there may be
+    sources without an object of that type, which meet by the bound objects alone.
+    """
+    types = list(dict.fromkeys([*arc.each, *arc.any, *arc.all]))
+    keys, label = [f"each{i}" for i in range(len(arc.each))], arc.all[0]
+    s, t = (lambda x: F.col(f"`s:{x}`")), (lambda x: F.col(f"`t:{x}`"))
+    rows, targets = _sets(log, arc.source, types, "s"), _sets(log, arc.target, types, "t")
+    for key, x in zip(keys, arc.each, strict=True):
+        rows, targets = rows.withColumn(key, F.explode(s(x))), targets.withColumn(key, F.explode(t(x)))
+    # only sets that a test looks at are dealt, and the object by which the two meet is left out of them
+    used = list(dict.fromkeys([*arc.any, *arc.all]))
+    keep = lambda df, side: df.select(side, f"{side}_time", *keys, *[f"`{side}:{x}`" for x in used])
+    rows, targets = keep(rows, "s"), keep(targets, "t")
+    p = F.expr(LATER[arc.kind])
+    for x in dict.fromkeys(arc.all):
+        p = p & (F.size(F.array_except(s(x), t(x))) == 0)
+    for x in dict.fromkeys(arc.any):
+        p = p & F.arrays_overlap(s(x), t(x))
+
+    def joined(how: str) -> DataFrame:
+        one, many = rows.filter(F.size(s(label)) > 0).withColumn("ob", F.array_min(s(label))), targets.withColumn("ob", F.explode(t(label)))
+        if label not in arc.any:
+            one, many = one.withColumn(f"s:{label}", F.array_remove(s(label), F.col("ob"))), many.withColumn(f"t:{label}", F.array_remove(t(label), F.col("ob")))
+        out = _meet(one, many, [*keys, "ob"], p, how)
+        return out.unionByName(_meet(rows.filter(F.size(s(label)) == 0), targets, keys, p, how), allowMissingColumns=True) if bare else out
+
+    return rows, joined, ["s", *keys]
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str], p: Column, how: str) -> DataFrame:
+    """Rows with equal ``on`` that pass a test of both sides' other columns."""
+    right = right.select(*[F.col(c).alias(f"_{c}") for c in on], *[f"`{c}`" for c in right.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return left.join(right, same & p, how)
+
+
+def _shared_violation(log: Log, arc: Arc) -> DataFrame:
+    """(rows, violated) of an arc of ``_sharing``: sources without a target are not dealt once more to be counted."""
+    rows, _, keys = _sharing(log, arc, False)
+    # a look at the sources: their number, and whether some meet by the bound objects alone
+    total, bare = rows.agg(F.count(F.lit(1)), F.count(F.when(F.size(F.col(f"`s:{arc.all[0]}`")) == 0, 1))).first()
+    _, joined, _ = _sharing(log, arc, bool(bare))
+    if (arc.low or 0) <= 1 and arc.high is None:
+        met = joined("left_semi").select(F.lit(1).alias("n"))
+    else:
+        met = joined("inner").groupBy(*keys, "ob").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0 if (arc.low or 0) <= 0 else 1).cast("long")
+    out = met.agg(F.count(F.lit(1)).alias("k"), F.count(F.when(~_in_bounds(F.col("n"), arc), 1)).alias("bad"))
+    return out.select(F.lit(total).cast("long").alias("rows"), (F.col("bad") + (F.lit(total) - F.col("k")) * none).alias("violated"))
+
+
 def _paired(log: Log, arc: Arc) -> tuple[DataFrame, DataFrame | None, DataFrame, list[str]]:
     """Matching (keys, s_time, t, t_time), rows that no label restricts, all source rows, and their keys."""
+    if _by_sets(log, arc):
+        rows, met, keys = _sharing(log, arc, True)
+        return met("inner").select(*keys, "s_time", "t", "t_time"), None, rows.select(*keys, "s_time"), keys
     rows, keys = log.event.filter(F.col("ev_type") == arc.source).select(F.col("ev_id").alias("s"), F.col("ev_time").alias("s_time")), ["s"]
     times = log.event.filter(F.col("ev_type") == arc.target).select(F.col("ev_id").alias("t"), F.col("ev_time").alias("t_time"))
     pairs, free, alls = None, None, list(arc.all)
@@ -136,7 +219,7 @@ def _paired(log: Log, arc: Arc) -> tuple[DataFrame, DataFrame | None, DataFrame,
     sources = lambda label: _of(log, arc.source, label, ("s", "ob"), True)
     targets = lambda label: _of(log, arc.target, label, ("t", "ob"), False)
     sizes = lambda label: sources(label).groupBy("s").agg(F.count(F.lit(1)).alias("of"))
-    later = {"EF": "t_time > s_time", "DF": "t_time > s_time", "EP": "t_time < s_time", "DP": "t_time < s_time", "AS": "true"}[arc.kind]
+    later = LATER[arc.kind]
     if arc.each:
         link = times
         for i, label in enumerate(arc.each):
@@ -224,8 +307,11 @@ def _some_shared(log: Log, arc: Arc) -> DataFrame:
 def violation(log: Log, arc: Arc) -> DataFrame:
     """One row: rows, violated, share (0 without rows)."""
     exists = len(arc.any) == 1 and not arc.each and not arc.all and (arc.low or 0) <= 1 and arc.high is None and arc.kind in ("AS", "EF", "EP")
-    counted = _some_shared(log, arc) if exists else matched(log, arc)[0]
-    out = counted.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(~_in_bounds(F.col("n"), arc), 1)).alias("violated"))
+    if _by_sets(log, arc):
+        out = _shared_violation(log, arc)
+    else:
+        counted = _some_shared(log, arc) if exists else matched(log, arc)[0]
+        out = counted.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(~_in_bounds(F.col("n"), arc), 1)).alias("violated"))
     return out.withColumn("share", F.when(F.col("rows") > 0, F.col("violated") / F.col("rows")).otherwise(0.0))
 
 
