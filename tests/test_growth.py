@@ -251,3 +251,19 @@ def test_pairs_in_blocks_are_all_pairs(spark, monkeypatch, few):
     left, right = frame("a", 20), frame("b", 30)
     got, want = paired(left, right, "k"), left.join(right, "k")
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_pairs_of_one_moment_spread_over_tasks(spark, monkeypatch):
+    at = lambda v: spark.createDataFrame([(f"{v}{i}", D(2024, 1, 1)) for i in range(2500)], f"{v} string, {v}_time timestamp_ntz")
+    near = range_join(at("a"), at("b"), "a_time", "b_time", 0.0, 1.0)
+    tasks = [r["count"] for r in near.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2500 * 2500 and max(tasks) < 0.8 * sum(tasks)
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    rng = random.Random(6)
+    frame = lambda v, n: spark.createDataFrame([(f"{v}{i}", D(2024, 1, 1, 0, 0, rng.randrange(4), rng.randrange(10) * 100_000)) for i in range(n)] + [(f"{v}none", None), (f"{v}old", D(1969, 12, 31, 23, 59, 59))], f"{v} string, {v}_time timestamp_ntz")
+    left, right = frame("a", 40), frame("b", 60)
+    a, b = ([tuple(r) for r in df.collect() if r[1]] for df in (left, right))
+    for low, high in ((0.0, 1.0), (-0.7, 0.2), (0.5, 0.5)):
+        near = range_join(left, right, "a_time", "b_time", low, high)
+        assert near.columns == ["a", "a_time", "b", "b_time"]
+        assert sorted(tuple(r) for r in near.collect()) == sorted((x, s, y, t) for x, s in a for y, t in b if low <= (t - s) / timedelta(microseconds=1) / 1e6 <= high)
